@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweir.llm import seen
+from tallyweir.llm import percentiles, seen
 from tallyweir.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,43 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_rates(spark: SparkSession, d: str) -> DataFrame:
     """The rate of wrong answers, in theory and as audited."""
     return seen.rates(_probed(spark, d)[1])
+
+
+# --- 4: percentiles of very large numeric columns
+
+PERMILLE = (10, 50, 250, 500, 750, 950, 990)
+
+
+def _height_sketches(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "observation")
+    return percentiles.portions(rows, F.col("country"), F.to_date("data_time"), F.col("height"))
+
+
+@query()
+def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """The percentiles of height of each country, for each day of data_time and for all days combined."""
+    out = percentiles.combine(_height_sketches(spark, d), PERMILLE, each_portion=True)
+    return out.withColumnsRenamed({"group": "country", "portion": "day"})
+
+
+@query(
+    f"""SELECT country, p.permille, n, true AS within_bound
+        FROM (SELECT country, count(*) AS n FROM observation WHERE height IS NOT NULL AND NOT isnan(height) GROUP BY country),
+            (SELECT unnest([{', '.join(map(str, PERMILLE))}])::INTEGER AS permille) p"""
+)
+def p4_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the rank of each country's combined percentiles is within the stated error, by counting all rows.
+
+    The numbers are first reduced to (country, height) with their frequency; the few estimates of a country join those.
+    """
+    said = percentiles.combine(_height_sketches(spark, d), PERMILLE)
+    said = said.groupBy("group").agg(F.first("n").alias("n"), F.first("rank_error").alias("rank_error"), F.collect_list(F.struct("permille", "value")).alias("said"))
+    numbers = table(spark, d, "observation").where("height is not null and not isnan(height)")
+    numbers = numbers.groupBy("country", (F.col("height") + F.lit(0.0)).alias("height")).agg(F.count(F.lit(1)).alias("weight"))
+    joined = numbers.join(said, F.col("country").eqNullSafe(F.col("group"))).select("country", "n", "rank_error", "height", "weight", F.explode("said").alias("s"))
+    ranks = joined.groupBy("country", "n", "rank_error", "s").agg(
+        F.sum(F.when(F.col("height") < F.col("s.value"), F.col("weight")).otherwise(0)).alias("less"),
+        F.sum(F.when(F.col("height") <= F.col("s.value"), F.col("weight")).otherwise(0)).alias("upto"),
+    )
+    wanted, slack = F.ceil(F.col("n") * F.col("s.permille") / 1000), F.col("rank_error") * F.col("n")
+    return ranks.select("country", F.col("s.permille").alias("permille"), "n", ((F.col("less") + 1 <= wanted + slack) & (F.col("upto") >= wanted - slack)).alias("within_bound"))

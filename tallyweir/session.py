@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +48,22 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder; later reads survive the loss of any executor."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors' Python workers, once a session, unless PYTHONPATH brings it there."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    context = spark.sparkContext
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_tallyweir_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="tallyweir-")
+    archive = os.path.join(folder, "tallyweir.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for path, folders, files in os.walk(os.path.join(root, "tallyweir")):
+            folders[:] = [f for f in folders if f != "__pycache__"]
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(path, name)
+                    z.write(full, os.path.relpath(full, root))
+    context.addPyFile(archive)
+    context._tallyweir_shipped = True

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweir.llm import percentiles, seen
+from tallyweir.llm import percentiles, seen, tokens
 from tallyweir.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,12 @@ def p4_audit(spark: SparkSession, d: str) -> DataFrame:
     )
     wanted, slack = F.ceil(F.col("n") * F.col("s.permille") / 1000), F.col("rank_error") * F.col("n")
     return ranks.select("country", F.col("s.permille").alias("permille"), "n", ((F.col("less") + 1 <= wanted + slack) & (F.col("upto") >= wanted - slack)).alias("within_bound"))
+
+
+# --- 6: encoding of the whole corpus with a public tokenizer
+
+
+@query()
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The ids of each document's text by byte_bpe_50k."""
+    return tokens.with_ids(table(spark, d, "documents"), ["doc_id"])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweir.llm import percentiles, seen, tokens
+from tallyweir.llm import mixing, percentiles, seen, tokens
 from tallyweir.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,25 @@ def p4_audit(spark: SparkSession, d: str) -> DataFrame:
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """The ids of each document's text by byte_bpe_50k."""
     return tokens.with_ids(table(spark, d, "documents"), ["doc_id"])
+
+
+# --- 7: mixing sources to target weights
+
+
+def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, list[mixing.Plan]]:
+    plans = mixing.read_targets(table(spark, d, "mix_target"))
+    records = mixing.sized_records(table(spark, d, "documents"), tokens.with_counts, "doc_id", "text", "source", plans)
+    return records, mixing.plan_mixture(records, plans)
+
+
+@query()
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The documents used and how often, for a mixture as large as all documents of the target's sources."""
+    records, plans = _mixture(spark, d)
+    return mixing.mix(records, plans).withColumnsRenamed({"id": "doc_id", "size": "n_tokens"})
+
+
+@query()
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share of each source in that mixture and what it falls short of."""
+    return mixing.report(_mixture(spark, d)[1], spark)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweir.llm import mixing, percentiles, seen, tokens
+from tallyweir.llm import mixing, percentiles, seen, spans, tokens
 from tallyweir.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,29 @@ def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     """The share of each source in that mixture and what it falls short of."""
     return mixing.report(_mixture(spark, d)[1], spark)
+
+
+# --- 8: long exact spans shared between records
+
+_SPANS = """WITH w AS (SELECT doc_id, i, substr(text, i::INTEGER + 1, 80) AS s FROM (SELECT doc_id, text, unnest(range(length(text) - 79)) AS i FROM documents WHERE length(text) >= 80)),
+       hit AS (SELECT doc_id, i FROM w WHERE s IN (SELECT s FROM w GROUP BY s HAVING min(doc_id) <> max(doc_id))),
+       cut AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 80 THEN 0 ELSE 1 END AS new FROM hit),
+       run AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS r FROM cut),
+       spans AS (SELECT doc_id, min(i)::BIGINT AS span_start, (max(i) + 80)::BIGINT AS span_end FROM run GROUP BY doc_id, r)"""
+
+
+@query(f"{_SPANS} SELECT * FROM spans")
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """The runs of characters that lie in spans of 80 or more shared with another document."""
+    return spans.shared_spans(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query(
+    f"""{_SPANS} SELECT d.doc_id, coalesce(length(d.text), 0)::BIGINT AS n_chars, coalesce(s.n, 0)::BIGINT AS shared_chars,
+        CASE WHEN length(d.text) > 0 THEN coalesce(s.n, 0)::DOUBLE / length(d.text) ELSE 0.0::DOUBLE END AS share
+        FROM documents d LEFT JOIN (SELECT doc_id, sum(span_end - span_start) AS n FROM spans GROUP BY doc_id) s USING (doc_id)"""
+)
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each document is shared elsewhere."""
+    documents = table(spark, d, "documents")
+    return spans.shared_share(documents, spans.shared_spans(documents)).withColumnRenamed("id", "doc_id")

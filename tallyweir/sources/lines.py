@@ -33,11 +33,12 @@ FIELDS = ("name", "country", "iata", "height", "tz")
 FIRST_US, END_US = 946_684_800_000_000, 4_102_444_800_000_000
 NUMBER = r"[+-]?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
 REASONS = ("time", "quoting", "columns", "height")
-#: Blocks this small are not worth another call of the columnar path.
-LEAF = 2
+#: Blocks this small go to ``strict`` whole: one call of the columnar path costs as much as reading so many lines.
+LEAF = 32
 
 _DIGITS = re.compile("[0-9]+")
 _NUMBER = re.compile(NUMBER)
+_FIELDS = pa.array(FIELDS)
 _PARSED = pa.schema([("data_time_us", pa.int64()), *((f, pa.float64() if f == "height" else pa.string()) for f in FIELDS)])
 
 
@@ -126,25 +127,22 @@ def _typed(time: pa.Array, values: dict[str, pa.Array]) -> pa.Table:
     given = pc.if_else(pc.equal(text, ""), pa.scalar(None, pa.string()), text)
     if not _all(pc.match_substring_regex(given, f"^{NUMBER}$")):
         raise _Rejected
-    height = pc.if_else(pc.equal(text, ""), pa.scalar(None, pa.string()), text).cast(pa.float64())
+    height = pc.replace_substring_regex(given, "^[+]", "").cast(pa.float64())
     if not _all(pc.is_finite(height)):
         raise _Rejected
     return pa.table([us, *(height if f == "height" else values[f] for f in FIELDS)], schema=_PARSED)
 
 
-def _by_name(names: list[pa.Array], values: list[pa.Array]) -> dict[str, pa.Array]:
-    """The values of the five fields, each of which must be there once in every line."""
-    out = {}
-    for field in FIELDS:
-        found, times = pa.nulls(len(names[0]), pa.string()), np.zeros(len(names[0]), np.int8)
-        for name, value in zip(names, values):
-            here = pc.equal(name, field)
-            times += here.to_numpy(zero_copy_only=False).astype(np.int8)
-            found = pc.if_else(here, value, found)
-        if not (times == 1).all():
-            raise _Rejected
-        out[field] = found
-    return out
+def _by_name(names: pa.Array, values: pa.Array, n: int) -> dict[str, pa.Array]:
+    """The values of the five fields, each of which must be there once in every line; first fields, second fields, ..."""
+    codes = pc.index_in(names, _FIELDS)
+    if codes.null_count:
+        raise _Rejected
+    codes = codes.to_numpy(zero_copy_only=False).reshape(len(FIELDS), n)
+    if not (np.bitwise_or.reduce(1 << codes, axis=0) == (1 << len(FIELDS)) - 1).all():
+        raise _Rejected
+    place = np.argsort(codes, axis=0) * n + np.arange(n)
+    return {f: values.take(pa.array(place[i])) for i, f in enumerate(FIELDS)}
 
 
 def _one(column: pa.ChunkedArray | pa.Array) -> pa.Array:
@@ -171,15 +169,13 @@ def _plain(lines: pa.Array, csv: bool, mark: str) -> pa.Table:
     time, *columns = (_one(table.column(n)) for n in names)
     if csv:
         return _typed(time, dict(zip(FIELDS, columns)))
-    keys, values = [], []
-    for column in columns:
-        at = pc.find_substring(column, "=")
-        if not _all(pc.greater_equal(at, 0)):
-            raise _Rejected
-        parts = pc.split_pattern(column, "=", max_splits=1)
-        keys.append(pc.list_element(parts, 0))
-        values.append(pc.list_element(parts, 1))
-    return _typed(time, _by_name(keys, values))
+    fields = pa.concat_arrays(columns)
+    split = pc.match_substring(fields, "=")
+    if not _all(split):  # a field without = has an empty value
+        fields = pc.if_else(split, fields, pc.binary_join_element_wise(fields, "=", ""))
+    halves = pc.split_pattern(fields, "=", max_splits=1).flatten()
+    even = np.arange(0, 2 * len(fields), 2)
+    return _typed(time, _by_name(halves.take(pa.array(even)), halves.take(pa.array(even + 1)), len(lines)))
 
 
 def _quoted(lines: pa.Array, csv: bool, mark: str) -> pa.Table:
@@ -189,33 +185,36 @@ def _quoted(lines: pa.Array, csv: bool, mark: str) -> pa.Table:
     if csv:
         pattern = "^(?P<time>[0-9]+)" + "".join(f"{d}(?P<v{i}>{value})" for i in range(5)) + "$"
     else:
-        pattern = "^(?P<time>[0-9]+)" + "".join(f'{d}(?P<k{i}>[^"={d}]*)=(?P<v{i}>{value})' for i in range(5)) + "$"
+        pattern = "^(?P<time>[0-9]+)" + "".join(f'{d}(?P<k{i}>[^"={d}]*)(?:=(?P<v{i}>{value}))?' for i in range(5)) + "$"
     found = pc.extract_regex(lines, pattern)
     if found.null_count:
         raise _Rejected
     time = found.field("time")
     if not _all(pc.less_equal(pc.utf8_length(time), 18)):
         raise _Rejected
-    values = []
-    for i in range(5):
-        raw = found.field(f"v{i}")
-        bare = pc.replace_substring(pc.utf8_slice_codeunits(raw, 1, -1), '""', '"')
-        values.append(pc.if_else(pc.starts_with(raw, '"'), bare, raw))
-    columns = dict(zip(FIELDS, values)) if csv else _by_name([found.field(f"k{i}") for i in range(5)], values)
-    return _typed(time, columns)
+    n = len(lines)
+    raw = pa.concat_arrays([found.field(f"v{i}") for i in range(5)])
+    bare = pc.replace_substring(pc.utf8_slice_codeunits(raw, 1, -1), '""', '"')
+    values = pc.if_else(pc.starts_with(raw, '"'), bare, raw)
+    if csv:
+        return _typed(time, {f: values.take(pa.array(np.arange(i * n, (i + 1) * n))) for i, f in enumerate(FIELDS)})
+    return _typed(time, _by_name(pa.concat_arrays([found.field(f"k{i}") for i in range(5)]), values, n))
+
 
+def _bisect(text: pa.Array, rows: np.ndarray, csv: bool, mark: str, quoted: bool, good: list, odd: list) -> None:
+    """Appends (row numbers, columns) of good blocks to ``good`` and the numbers of the lines to be diagnosed to ``odd``.
 
-def _bisect(lines: pa.Array, rows: np.ndarray, csv: bool, mark: str, quoted: bool, good: list, odd: list) -> None:
-    """Appends (row numbers, columns) of good blocks to ``good`` and the numbers of the lines to be diagnosed to ``odd``."""
+    Blocks are taken, not sliced: some Arrow kernels go wrong on sliced strings.
+    """
     if len(rows) <= LEAF:
         odd.extend(rows.tolist())
         return
     try:
-        good.append((rows, (_quoted if quoted else _plain)(lines, csv, mark)))
+        good.append((rows, (_quoted if quoted else _plain)(text.take(pa.array(rows)), csv, mark)))
     except (_Rejected, pa.ArrowInvalid):
         half = len(rows) // 2
-        _bisect(lines[:half], rows[:half], csv, mark, quoted, good, odd)
-        _bisect(lines[half:], rows[half:], csv, mark, quoted, good, odd)
+        _bisect(text, rows[:half], csv, mark, quoted, good, odd)
+        _bisect(text, rows[half:], csv, mark, quoted, good, odd)
 
 
 def parse_batch(lines: pa.Array, layouts: pa.Array) -> tuple[pa.Table, pa.Array]:
@@ -236,7 +235,7 @@ def parse_batch(lines: pa.Array, layouts: pa.Array) -> tuple[pa.Table, pa.Array]
         if not kind:
             odd.extend(rows.tolist())
         else:
-            _bisect(text.take(pa.array(rows)), rows, kind[0] == "c", kind[2:], kind[1] == "q", good, odd)
+            _bisect(text, rows, kind[0] == "c", kind[2:], kind[1] == "q", good, odd)
     reasons: dict[int, str] = {}
     if odd:
         kept, loaded = [], []

@@ -1,28 +1,17 @@
-"""The registered queries of the core and, where SQL can say the same, their SQL."""
+"""The queries of the general data-preparation operators."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweir.operators import panes, skew
+from tallyweir.registry import Registry
 from tallyweir.sources import lines
 from tallyweir.sources.tables import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+query = Registry()
+QUERIES, SQL = query.queries, query.sql
 
 
 # --- 1: rows that fail to parse

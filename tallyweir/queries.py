@@ -16,14 +16,35 @@ QUERIES, SQL = query.queries, query.sql
 
 # --- 1: rows that fail to parse
 
-
-@query()
+_QUOTED = '"(?:[^"]|"")*"'
+_LINES = rf"""WITH a AS (SELECT *, layout = 'csv' AS csv, regexp_replace(coalesce(line, ''), '\r$', '') AS t FROM raw_line),
+    b AS (SELECT *, regexp_extract(t, '^[0-9]+') AS digits FROM a),
+    c AS (SELECT *, substr(t, length(digits) + 1, 1) AS mark, substr(t, length(digits) + 1) AS rest FROM b),
+    m AS (SELECT *, CASE WHEN csv THEN ',' WHEN regexp_matches(mark, '^[!-/:-@\[-`{{-~]$') THEN '\' || mark ELSE mark END AS d FROM c),
+    v AS (SELECT *, CASE WHEN csv THEN '()({_QUOTED}|[^",][^",]*|)' WHEN mark = '=' THEN '([^"=]*)()' ELSE '([^"=' || d || ']*)(?:=({_QUOTED}|[^"' || d || '][^"' || d || ']*|))?' END AS item FROM m),
+    f AS (SELECT *, CASE WHEN digits = '' OR length(ltrim(digits, '0')) > 16 THEN false ELSE TRY_CAST(right(digits, 18) AS BIGINT) BETWEEN 946684800000000 AND 4102444799999999 END
+            AND (NOT csv OR mark IN ('', ',')) AS time_ok,
+        mark = '' OR (mark <> '"' AND regexp_full_match(rest, '(?:' || d || item || ')*')) AS quoting_ok,
+        CASE WHEN mark <> '' THEN regexp_extract_all(rest, d || item, 1) ELSE [] END AS names, CASE WHEN mark <> '' THEN regexp_extract_all(rest, d || item, 2) ELSE [] END AS raw FROM v),
+    g AS (SELECT *, CASE WHEN csv THEN ['name', 'country', 'iata', 'height', 'tz'] ELSE names END AS fields,
+        list_transform(raw, lambda x: CASE WHEN x[1] = '"' THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE coalesce(x, '') END) AS val FROM f),
+    h AS (SELECT *, CASE WHEN csv THEN len(val) = 5 ELSE list_sort(names) = ['country', 'height', 'iata', 'name', 'tz'] END AS columns_ok, val[list_position(fields, 'height')] AS tall FROM g),
+    l AS (SELECT *, CASE WHEN NOT time_ok THEN 'time' WHEN NOT quoting_ok THEN 'quoting' WHEN NOT columns_ok THEN 'columns'
+        WHEN tall <> '' AND NOT (regexp_full_match(tall, '[+-]?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?') AND coalesce(isfinite(TRY_CAST(tall AS DOUBLE)), false)) THEN 'height' END AS reason FROM h)"""
+
+
+@query(f"{_LINES} SELECT line_id, reason FROM l WHERE reason IS NOT NULL")
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """The lines that fail, each with its reason."""
     return lines.rejects(lines.parse_lines(table(spark, d, "raw_line"), ["line_id"])).select("line_id", "reason")
 
 
-@query()
+@query(
+    _LINES
+    + " SELECT line_id, receive_time, make_timestamp(right(digits, 18)::BIGINT) AS data_time, "
+    + ", ".join(f"val[list_position(fields, '{f}')] AS {f}" for f in ("name", "country", "iata", "tz"))
+    + ", CASE WHEN tall <> '' THEN TRY_CAST(tall AS DOUBLE) END AS height FROM l WHERE reason IS NULL"
+)
 def p1_loaded(spark: SparkSession, d: str) -> DataFrame:
     """The typed Rows of all other lines."""
     return lines.loaded(lines.parse_lines(table(spark, d, "raw_line"), ["line_id", "receive_time"]))

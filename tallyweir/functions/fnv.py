@@ -47,7 +47,8 @@ def _fnv(value: Column, kind: str, xor_first: bool) -> Column:
         return F.struct(hi.alias("hi"), lo.alias("lo"))
 
     begin = F.struct(_long(OFFSET >> 32).alias("hi"), _long(OFFSET & _MASK).alias("lo"))
-    return F.aggregate(starts, begin, step, lambda s: F.shiftleft(s["hi"], 32).bitwiseOR(s["lo"]))
+    hash = F.aggregate(starts, begin, step, lambda s: F.shiftleft(s["hi"], 32).bitwiseOR(s["lo"]))
+    return F.when(value.isNotNull(), hash)
 
 
 def fnv1(value: Column, kind: str = "string") -> Column:

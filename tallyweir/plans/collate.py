@@ -36,7 +36,7 @@ def _input(df: DataFrame, spec: MeasureSpec) -> Column:
     kind = df.schema[spec.field].dataType
     if spec.measure.input == "text":
         return ref(spec.field).cast("string")
-    if spec.name == "count" or isinstance(kind, T.NumericType):
+    if spec.measure.input == "any" or isinstance(kind, T.NumericType):
         return ref(spec.field)
     return number(ref(spec.field).cast("string"))
 

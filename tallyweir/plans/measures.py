@@ -27,7 +27,7 @@ class Part:
 
 @dataclass(frozen=True)
 class Measure:
-    """``input``: 'row', 'number' or 'text'. ``finish`` gets the state's columns by part. ``size``: bytes of a key's
+    """``input``: 'any' (the value as it is), 'number' or 'text'. ``finish`` gets the state's columns by part. ``size``: bytes of a key's
     state for a precision, apart from what is shared (see ``Rollup.bytes_per_key``)."""
 
     name: str
@@ -44,6 +44,7 @@ def _text(x: Column) -> Column:
 
 
 PARTS: dict[str, Part] = {
+    "present": Part(lambda x, p: F.count(x), F.sum),
     "n": Part(lambda x, p: F.count(x), F.sum),
     "sum": Part(lambda x, p: F.sum(x), F.sum),
     "m2": Part(lambda x, p: F.var_pop(x.cast("double")) * F.count(x), None),
@@ -65,7 +66,7 @@ def register(measure: Measure, parts: dict[str, Part] | None = None) -> None:
     MEASURES[measure.name] = measure
 
 
-register(Measure("count", "number", ("n",), lambda c: c("n")))
+register(Measure("count", "any", ("present",), lambda c: c("present")))
 register(Measure("sum", "number", ("sum",), lambda c: c("sum").cast("double"), shares_moments=True))
 register(Measure("mean", "number", ("n", "sum"), lambda c: F.try_divide(c("sum").cast("double"), c("n")), shares_moments=True))
 register(Measure("var", "number", ("n", "sum", "m2"), lambda c: F.when(c("n") > 1, c("m2") / (c("n") - 1)), shares_moments=True))

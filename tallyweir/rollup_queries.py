@@ -261,11 +261,13 @@ def size_estimate(spark: SparkSession, d: str) -> DataFrame:
        FROM events WHERE event_type IS NOT NULL GROUP BY 1"""
 )
 def obs_parse_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Events written as lines with three delimiters, read again and aggregated."""
+    """Events written to text files with three delimiters, read again and aggregated."""
     pairs = [("event_type", F.col("event_type")), ("value", F.col("value")), ("props", F.col("props"))]
     lines = [observations.render(micros(F.col("ts")), pairs, mark) for mark in ("|", "\t", "\\")]
     line = F.when(F.pmod("event_id", F.lit(3)) == 0, lines[0]).when(F.pmod("event_id", F.lit(3)) == 1, lines[1]).otherwise(lines[2])
-    good, _ = observations.split(observations.parse(_events(spark, d).select(line.alias("value"))))
+    folder = f"{_folder(spark)}/lines"
+    _events(spark, d).select(line.alias("value")).write.text(folder)
+    good, _ = observations.split(observations.parse(observations.read_lines(spark, folder)))
     rows = observations.fields(good, ["event_type", "value"]).withColumn("value", F.col("value").try_cast("decimal(18,2)"))
     sums = rows.where("event_type is not null").groupBy("event_type").agg(
         F.count(F.lit(1)).alias("count"), F.sum("value").cast("double").alias("sum_value"), F.min("data_time").alias("first_time"), F.max("data_time").alias("last_time")

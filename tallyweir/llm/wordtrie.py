@@ -7,8 +7,8 @@ token: of the tokens that end the prefix one alone is compatible with the last t
 
 Words are inserted in order into a trie, which walks it depth first; each new node gets its last token from the last
 tokens of its ancestors. A word's ids are read off backwards, token by token. Nodes stay, so later words with the same
-beginnings start there. The trie and the table of words are emptied when they reach their limits, which changes nothing
-but the work.
+beginnings start there. The trie, the table of words and that of compatible pairs are emptied when they reach their
+limits, which changes nothing but the work.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import regex
 
 #: The words of the text, with the space before: fixed by the vocabulary's publisher.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-MAX_NODES, MAX_WORDS = 1_000_000, 500_000
+MAX_NODES, MAX_WORDS, MAX_PAIRS = 400_000, 200_000, 500_000
 #: Longer words (bytes) are encoded by the same rule without taking nodes.
 LONG = 64
 _NEVER = 1 << 40
@@ -89,6 +89,8 @@ class WordTrie:
         key = left << 20 | right
         known = self.compatible.get(key)
         if known is None:
+            if len(self.compatible) > MAX_PAIRS:
+                self.compatible.clear()
             rank_of, known = self.ranks.get, True
             heads = self._spine(right, 0)
             for tail, tail_until in self._spine(left, 1):

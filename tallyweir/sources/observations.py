@@ -101,8 +101,9 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_lines(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """Text files as they arrive, with ``receive_time`` (the batch's time, as one posting has)."""
+    """Text files as they arrive, one posting each, with ``receive_time``: the file's time, which is one for all lines
+    of a posting and stays the same when a batch runs again."""
     reader = spark.readStream.format("text")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.load(path).withColumn("receive_time", F.current_timestamp())
+    return reader.load(path).select("value", F.col("_metadata.file_modification_time").alias("receive_time"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -30,14 +30,28 @@ def without_clash(df: DataFrame, reserved: Iterable[str]) -> DataFrame:
     return df
 
 
+def _in_utc() -> bool:
+    """Whether the session's zone is UTC, so that conversions by zone change nothing."""
+    return SparkSession.active().conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
+
+
 def micros(time: Column) -> Column:
     """Microseconds since 1970-01-01 UTC of a TIMESTAMP_NTZ that means UTC, whatever the session's zone."""
-    return F.unix_micros(F.from_utc_timestamp(time.cast("timestamp"), F.current_timezone()))
+    if _in_utc():
+        return F.unix_micros(time.cast("timestamp"))
+    # by fields, which do not depend on a zone; a conversion by zone would move times that the zone skips
+    seconds = F.hour(time) * 3600 + F.minute(time) * 60
+    rest = (F.extract(F.lit("SECOND"), time) * 1_000_000).cast("bigint")
+    return F.unix_date(time.cast("date")) * F.lit(86_400_000_000) + seconds * F.lit(1_000_000).cast("bigint") + rest
 
 
 def from_micros(value: Column) -> Column:
     """The TIMESTAMP_NTZ of microseconds since 1970-01-01, meaning UTC."""
-    return F.to_utc_timestamp(F.timestamp_micros(value), F.current_timezone()).cast("timestamp_ntz")
+    if _in_utc():
+        return F.timestamp_micros(value).cast("timestamp_ntz")
+    none = F.lit(0)
+    seconds = (value.cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(none, none, none, seconds)
 
 
 def floor_to(value: Column, width: int) -> Column:

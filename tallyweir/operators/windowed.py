@@ -8,7 +8,7 @@ Times are TIMESTAMP_NTZ or TIMESTAMP columns; rows without a time, or without a
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,24 +36,19 @@ def bucketed(df: DataFrame, keys: Sequence[str], time: str, width: int, measures
 
 
 def windowed(df: DataFrame, keys: Sequence[str], time: str, after: datetime, before: datetime, measures: dict[str, Column]) -> DataFrame:
-    """keys and the measures of the rows strictly between two moments. The bounds stand beside the bare column where its
-    type allows, so they reach the scan."""
-    rows = _rows(df, keys, time).where((_bound(df, time) > _literal(df, time, after)) & (_bound(df, time) < _literal(df, time, before)))
+    """keys and the measures of the rows strictly between two moments. The bounds stand beside the bare column, so they reach
+    the scan."""
+    rows = _rows(df, keys, time).where((ref(time) > _literal(df, time, after)) & (ref(time) < _literal(df, time, before)))
     return rows.groupBy(*keys).agg(*(c.alias(n) for n, c in measures.items()))
 
 
 def lookback(df: DataFrame, keys: Sequence[str], time: str, now: datetime, back: int, measures: dict[str, Column]) -> DataFrame:
     """keys and the measures of the rows of the last ``back`` microseconds: (now - back, now]."""
-    end = _literal(df, time, now)
-    start = end - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(back / 1e6).cast("decimal(18,6)"))
-    rows = _rows(df, keys, time).where((_bound(df, time) > start) & (_bound(df, time) <= end))
+    start, end = _literal(df, time, now - timedelta(microseconds=back)), _literal(df, time, now)
+    rows = _rows(df, keys, time).where((ref(time) > start) & (ref(time) <= end))
     return rows.groupBy(*keys).agg(*(c.alias(n) for n, c in measures.items()))
 
 
-def _bound(df: DataFrame, time: str) -> Column:
-    return ref(time)
-
-
 def _literal(df: DataFrame, time: str, moment: datetime) -> Column:
     return F.lit(moment.isoformat(sep=" ")).cast(df.schema[time].dataType)
 

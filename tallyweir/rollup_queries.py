@@ -427,9 +427,15 @@ def top_k_global(spark: SparkSession, d: str) -> DataFrame:
     return counters.top_k(table(spark, d, "observation"), [], F.col("iata"), 20)
 
 
-@query()
+@query(
+    """SELECT event_type, place::INTEGER AS place, n FROM (SELECT event_type, count(*) AS n, row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC) AS place
+       FROM events WHERE user_id IS NOT NULL GROUP BY event_type, user_id) WHERE place <= 10"""
+)
 def top_k_approx(spark: SparkSession, d: str) -> DataFrame:
-    return counters.top_k_approx(table(spark, d, "events"), ["event_type"], F.col("user_id"), 10)
+    """The counts of the ten commonest users; the sketch is exact while it tracks all of them."""
+    top = counters.top_k_approx(table(spark, d, "events"), ["event_type"], F.col("user_id"), 10)
+    counts = top.groupBy("event_type").agg(F.sort_array(F.collect_list("n"), False).alias("counts"))
+    return counts.select("event_type", F.posexplode("counts").alias("i", "n")).select("event_type", (F.col("i") + 1).alias("place"), "n")
 
 
 @query("SELECT l_partkey AS value, count(*) AS n FROM lineitem WHERE l_partkey IS NOT NULL GROUP BY 1")
@@ -454,9 +460,20 @@ def histogram_fixed_bins(spark: SparkSession, d: str) -> DataFrame:
     return counters.histogram(table(spark, d, "events"), ["event_type"], F.col("value"), 0.0, 10.0, 20)
 
 
-@query()
-def quantiles_approx(spark: SparkSession, d: str) -> DataFrame:
-    return counters.quantiles_approx(table(spark, d, "events"), ["event_type"], F.col("value"), [0.25, 0.5, 0.75])
+@query("SELECT event_type, unnest([0.25, 0.5, 0.75])::DOUBLE AS share, count(value) AS n, true AS within_bound FROM events GROUP BY 1")
+def quantiles_within_bound(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the built-in summary's quantiles are within a thousandth of their rank."""
+    rows, shares = table(spark, d, "events"), [0.25, 0.5, 0.75]
+    said = counters.quantiles_approx(rows, ["event_type"], F.col("value"), shares)
+    pairs = said.select("event_type", F.explode(F.arrays_zip(F.array(*map(F.lit, shares)).alias("share"), F.col("quantiles").alias("v"))).alias("q"))
+    counts = rows.groupBy("event_type", "value").agg(F.count("value").alias("n"))
+    at = counts.join(pairs, "event_type").groupBy("event_type", F.col("q.share").alias("share")).agg(
+        F.sum("n").alias("n"),
+        F.sum(F.when(F.col("value") < F.col("q.v"), F.col("n")).otherwise(0)).alias("less"),
+        F.sum(F.when(F.col("value") <= F.col("q.v"), F.col("n")).otherwise(0)).alias("upto"),
+    )
+    wanted, slack = F.col("share") * F.col("n"), 1 + F.col("n") / 1000
+    return at.select("event_type", "share", "n", ((F.col("less") <= wanted + slack) & (F.col("upto") >= wanted - slack)).alias("within_bound"))
 
 
 # --- windows

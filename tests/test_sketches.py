@@ -178,11 +178,17 @@ def test_statistics(spark):
     assert tuple(one[0]) == (1, 1.0, None) and one[1] is None
 
 
-def test_times(spark):
-    moments = [datetime(1960, 1, 1, 0, 0, 0, 1), datetime(2024, 3, 31, 2, 30, 0, 999_999), None]
-    df = spark.createDataFrame([(t,) for t in moments], "t timestamp_ntz")
-    for t, us, back in df.select("t", micros(F.col("t")), from_micros(micros(F.col("t")))).collect():
-        assert back == t and (t is None or us == (t - datetime(1970, 1, 1)) // timedelta(microseconds=1))
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kathmandu"])
+def test_times(spark, zone):
+    """Times without a zone mean UTC in any session; some of these do not exist in New York."""
+    moments = [datetime(1960, 1, 1, 0, 0, 0, 1), datetime(2024, 3, 31, 2, 30, 0, 999_999), datetime(2024, 3, 10, 2, 30), datetime(2024, 11, 3, 1, 30), datetime(1883, 1, 1), None]
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.createDataFrame([(t,) for t in moments], "t timestamp_ntz")
+        for t, us, back in df.select("t", micros(F.col("t")), from_micros(micros(F.col("t")))).collect():
+            assert back == t and (t is None or us == (t - datetime(1970, 1, 1)) // timedelta(microseconds=1))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
 def test_windows(spark):
@@ -198,4 +204,4 @@ def test_windows(spark):
     assert rows(windowed.uniques_between(sketches, ["k"], hour, t, t + timedelta(hours=2))) == [("a", 3)]
     assert windowed.uniques_between(sketches, ["k"], hour, t, t + timedelta(minutes=59)).count() == 0
     plan = windowed.windowed(df, [], "ts", t, t + timedelta(hours=1), count)._jdf.queryExecution().optimizedPlan().toString()
-    assert "ts#" in plan
+    assert "isnotnull(ts#" in plan and "cast(ts#" not in plan

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tallyweir.operators import panes, skew
 from tallyweir.registry import Registry
+from tallyweir.session import scratch
 from tallyweir.sources import lines
-from tallyweir.sources.tables import table
+from tallyweir.sources.tables import stream_table, table
+from tallyweir.streaming.panes import PaneStream
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -161,3 +163,14 @@ def p5_three_days(spark: SparkSession, d: str) -> DataFrame:
     """Windows of three days that begin every day, each composed of three panes."""
     state, partials = _panes(spark, d, THREE_DAYS)
     return _as_numbers(panes.final_windows(state, THREE_DAYS, [], partials))
+
+
+@query(SQL["p5_daily"])
+def p5_streamed(spark: SparkSession, d: str) -> DataFrame:
+    """The days' aggregates kept from a stream of the rows, some files at a time."""
+    partials = panes.number_partials("height")
+    folder = scratch(spark)
+    kept = PaneStream(spark, f"{folder}/days", DAILY, [], partials)
+    rows = stream_table(spark, d, "observation", 4)
+    kept.start(rows, lambda changed, batch: None, f"{folder}/checkpoint", available_now=True).awaitTermination()
+    return _as_numbers(kept.final())

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,9 +14,9 @@ from tallyweir.plans import collate as c
 from tallyweir.plans.engine import Engine
 from tallyweir.plans.spec import MeasureSpec, Rollup
 from tallyweir.registry import Registry
-from tallyweir.session import checkpoint_dir
+from tallyweir.session import scratch
 from tallyweir.sources import observations
-from tallyweir.sources.tables import table
+from tallyweir.sources.tables import stream_table, table
 from tallyweir.streaming import rollup as stream_rollup
 from tallyweir.streaming import windows as stream_windows
 
@@ -265,7 +264,7 @@ def obs_parse_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     pairs = [("event_type", F.col("event_type")), ("value", F.col("value")), ("props", F.col("props"))]
     lines = [observations.render(micros(F.col("ts")), pairs, mark) for mark in ("|", "\t", "\\")]
     line = F.when(F.pmod("event_id", F.lit(3)) == 0, lines[0]).when(F.pmod("event_id", F.lit(3)) == 1, lines[1]).otherwise(lines[2])
-    folder = f"{_folder(spark)}/lines"
+    folder = f"{scratch(spark)}/lines"
     _events(spark, d).select(line.alias("value")).write.text(folder)
     good, _ = observations.split(observations.parse(observations.read_lines(spark, folder)))
     rows = observations.fields(good, ["event_type", "value"]).withColumn("value", F.col("value").try_cast("decimal(18,2)"))
@@ -524,22 +523,12 @@ def lookback_uniquecount(spark: SparkSession, d: str) -> DataFrame:
 # --- streams: each is run over the table until all of it is processed
 
 
-def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """The table, one file or many, as a stream, some files at a time. A path with a pattern may be a file."""
-    schema = table(spark, d, name).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{d.rstrip('/')}/{name}.parque[t]")
-
-
-def _folder(spark: SparkSession) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
-
-
 @query(_VALUES)
 def stream_equals_batch(spark: SparkSession, d: str) -> DataFrame:
     """A rollup kept from a stream in mergeable states, then read."""
-    folder = _folder(spark)
+    folder = scratch(spark)
     kept = stream_rollup.RollupTable(spark, f"{folder}/values", VALUES)
-    events = _stream(spark, d, "events").withColumn("value", F.col("value").cast("decimal(18,2)"))
+    events = stream_table(spark, d, "events", 4).withColumn("value", F.col("value").cast("decimal(18,2)"))
     stream_rollup.keep(events, [kept], f"{folder}/checkpoint", available_now=True).awaitTermination()
     return _rounded(kept.read())
 
@@ -561,8 +550,8 @@ _ENDED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
 )
 def stream_tumbling_count(spark: SparkSession, d: str) -> DataFrame:
     """Days that the watermark has passed, appended once each."""
-    counts = stream_windows.tumbling(_stream(spark, d, "events"), ["event_type"], "ts", "1 day", "1 hour", {"n": F.count(F.lit(1))})
-    out = _finished(counts, _folder(spark), "append")
+    counts = stream_windows.tumbling(stream_table(spark, d, "events", 4), ["event_type"], "ts", "1 day", "1 hour", {"n": F.count(F.lit(1))})
+    out = _finished(counts, scratch(spark), "append")
     return out.withColumns({x: F.col(x).cast("timestamp_ntz") for x in ("window_start", "window_end")})
 
 
@@ -573,6 +562,18 @@ def stream_tumbling_count(spark: SparkSession, d: str) -> DataFrame:
 )
 def stream_session_count(spark: SparkSession, d: str) -> DataFrame:
     """Sessions of events less than two hours apart."""
-    counts = stream_windows.sessions(_stream(spark, d, "events"), ["event_type"], "ts", "2 hours", "1 hour", {"n": F.count(F.lit(1))})
-    out = _finished(counts, _folder(spark), "append")
+    counts = stream_windows.sessions(stream_table(spark, d, "events", 4), ["event_type"], "ts", "2 hours", "1 hour", {"n": F.count(F.lit(1))})
+    out = _finished(counts, scratch(spark), "append")
+    return out.withColumns({x: F.col(x).cast("timestamp_ntz") for x in ("window_start", "window_end")})
+
+
+@query(
+    f"""SELECT event_type, window_start, window_start + INTERVAL 6 HOUR AS window_end, count(*) AS n
+        FROM (SELECT event_type, ts, date_trunc('hour', ts)::TIMESTAMP - to_hours(((hour(ts) % 2) + 2 * k)::INTEGER) AS window_start FROM events, range(3) AS k(k))
+        WHERE ts < window_start + INTERVAL 6 HOUR AND window_start + INTERVAL 6 HOUR <= {_ENDED} GROUP BY 1, 2"""
+)
+def stream_sliding_count(spark: SparkSession, d: str) -> DataFrame:
+    """Six hours every two hours."""
+    counts = stream_windows.sliding(stream_table(spark, d, "events", 4), ["event_type"], "ts", "6 hours", "2 hours", "1 hour", {"n": F.count(F.lit(1))})
+    out = _finished(counts, scratch(spark), "append")
     return out.withColumns({x: F.col(x).cast("timestamp_ntz") for x in ("window_start", "window_end")})

@@ -7,3 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+
+
+def stream_table(spark: SparkSession, folder: str, name: str, max_files: int) -> DataFrame:
+    """The table as a stream, ``max_files`` files at a time. The path is a pattern, as only patterns may name a file."""
+    schema = table(spark, folder, name).schema
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+    return reader.parquet(f"{folder.rstrip('/')}/{name}.parque[t]")

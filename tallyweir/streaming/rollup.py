@@ -100,7 +100,8 @@ def keep(stream: DataFrame, tables: Sequence[RollupTable], checkpoint: str, avai
     """One query that keeps all tables: each micro-batch is read once and aggregated for every rollup."""
 
     def write(rows: DataFrame, batch: int) -> None:
-        rows.persist()
+        if len(tables) > 1:  # one rollup reads the batch once anyway
+            rows.persist()
         try:
             for table in tables:
                 table.append(rows, batch)

@@ -24,6 +24,8 @@ from tallyweir.functions.columns import from_micros, ref, without_clash
 DATA_TYPE = T.ArrayType(T.StructType([T.StructField("f", T.StringType()), T.StructField("v", T.StringType())]))
 #: Of the digits that begin a line, so many belong to the time.
 DIGITS = 20
+#: The end of the year 9999; there are no timestamps beyond.
+LAST_US = 253_402_300_799_999_999
 REASONS = ("no leading time", "time out of range", "delimiter is not ASCII")
 RESULTS = ("reason", "data_time", "data")
 
@@ -44,27 +46,22 @@ def items(rest: Column, delimiter: Column) -> Column:
 def parse(df: DataFrame, line: str = "value") -> DataFrame:
     """``df`` with reason, data_time (TIMESTAMP_NTZ meaning UTC) and data; the latter two are null for a bad line.
     Columns called like these are renamed ``<name>_in``."""
-    df = without_clash(df, RESULTS)
+    df = without_clash(df, (*RESULTS, "line_digits", "line_time"))
     text = ref(f"{line}_in" if line in RESULTS else line)
-    digits = F.regexp_extract(text, rf"^([0-9]{{1,{DIGITS}}})", 1)
-    n = F.length(digits)
-    time = digits.try_cast("bigint")
+    # in steps of their own, so each is worked out once a line
+    df = df.withColumn("line_digits", F.regexp_extract(text, rf"^([0-9]{{1,{DIGITS}}})", 1))
+    df = df.withColumn("line_time", F.col("line_digits").try_cast("bigint"))
+    n, time = F.length("line_digits"), F.col("line_time")
     delimiter = F.substr(text, n + 1, F.lit(1))
-    # beyond year 9999 there is no timestamp to show
-    late = time.isNull() | (time > F.lit(253_402_300_799_999_999))
     reason = (
         F.when(text.isNull() | (n == 0), REASONS[0])
-        .when(late, REASONS[1])
-        .when((F.length(text) > n) & ~delimiter.rlike("^[\\x00-\\x7F]$"), REASONS[2])
+        .when(time.isNull() | (time > F.lit(LAST_US)), REASONS[1])
+        .when((F.length(text) > n) & (F.octet_length(delimiter) > 1), REASONS[2])
     )
+    df = df.withColumn("reason", reason)
     data = F.when(F.length(text) == n, F.array().cast(DATA_TYPE)).otherwise(items(F.substr(text, n + 2), delimiter))
-    return df.withColumns(
-        {
-            "reason": reason,
-            "data_time": F.when(reason.isNull(), from_micros(time)),
-            "data": F.when(reason.isNull(), data),
-        }
-    )
+    good = F.col("reason").isNull()
+    return df.withColumns({"data_time": F.when(good, from_micros(time)), "data": F.when(good, data)}).drop("line_digits", "line_time")
 
 
 def split(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -11,6 +11,8 @@ without any value are null, except counts and uniquecount, which are 0. NaN is a
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,6 +79,14 @@ def merge(states: DataFrame, rollup: Rollup) -> DataFrame:
     return states.groupBy(*keys).agg(*columns)
 
 
+def coarser(rollup: Rollup, keys: Sequence[str]) -> Rollup:
+    """The rollup by some of its keys, which its states can answer too."""
+    other = [k for k in keys if k not in rollup.keys]
+    if other:
+        raise SpecError(f"rollup {rollup.name} has no key {', '.join(other)}")
+    return Rollup(rollup.name, tuple(keys), rollup.measures, rollup.where)
+
+
 def finish(states: DataFrame, rollup: Rollup) -> DataFrame:
     results = [m.measure.finish(lambda part, m=m: ref(part_column(m, part))).alias(m.column) for m in rollup.measures]
     return states.select(*(ref(k) for k in rollup.keys), *results)

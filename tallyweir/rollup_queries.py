@@ -200,6 +200,14 @@ def rollup_merge(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(c.finish(c.merge(c.state(rows, by_portion).drop("portion"), VALUES), VALUES))
 
 
+@query(_VALUES)
+def rollup_coarser(spark: SparkSession, d: str) -> DataFrame:
+    """States by type and user answer for the types."""
+    fine = Rollup("values", ("event_type", "user_id"), VALUES.measures)
+    by_type = c.coarser(fine, ["event_type"])
+    return _rounded(c.finish(c.merge(c.state(_events(spark, d), fine), by_type), by_type))
+
+
 def _engine(spark: SparkSession, d: str, strict: bool = True) -> Engine:
     engine = Engine(strict)
     rows = _events(spark, d)

@@ -88,12 +88,14 @@ class RollupTable:
         if batches:
             self.files.replace(self.states(), batches[-1])
 
-    def read(self) -> DataFrame:
-        """The measures of each key as of the last complete batch."""
-        states = self.states()
-        if states is None:
+    def read(self, keys: Sequence[str] | None = None) -> DataFrame:
+        """The measures of each key as of the last complete batch; with ``keys``, of each combination of these keys of
+        the rollup alone, from the same states."""
+        stored = self.files.read()
+        if stored is None:
             raise LookupError(f"nothing has been written for {self.rollup.name}")
-        return c.finish(states, self.rollup)
+        wanted = self.rollup if keys is None else c.coarser(self.rollup, keys)
+        return c.finish(c.merge(stored, wanted), wanted)
 
 
 def keep(stream: DataFrame, tables: Sequence[RollupTable], checkpoint: str, available_now: bool = False) -> StreamingQuery:

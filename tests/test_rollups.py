@@ -225,6 +225,18 @@ def test_batch_that_runs_twice_counts_once(spark, tmp_path):
     assert rows(kept.read()) == [("a", 6)] and kept.files.live() == (2, [])
 
 
+def test_states_answer_for_fewer_keys(spark, tmp_path):
+    rollup = Rollup("r", ("k", "n"), ALL)
+    kept = s.RollupTable(spark, str(tmp_path), rollup)
+    df = spark.createDataFrame([("a", 1, 4.0), ("a", 2, 2.0), ("a", 2, 9.0), ("b", 1, None)], "k string, n int, foo double")
+    kept.append(df.where("n = 1"), 0)
+    kept.append(df.where("n = 2"), 1)
+    assert rows(kept.read(["k"])) == [("a", 3, 3, 15.0, 5.0, 13.0, 9.0, 2.0, 3), ("b", 1, 0, None, None, None, None, None, 0)]
+    assert tuple(kept.read([]).first())[:4] == (4, 3, 15.0, 5.0)
+    with pytest.raises(SpecError):
+        kept.read(["z"])
+
+
 def test_live_stream(spark, tmp_path):
     spark.createDataFrame([("a", 1.0), ("a", 3.0)], "k string, x double").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("k string, x double").parquet(str(tmp_path / "in"))

@@ -5,7 +5,8 @@ character that follows the time). Valid lines are the common case, so they take
 blocks of one layout and delimiter, and a block is parsed in one go, by Arrow's CSV reader where no quotes or line
 breaks occur in it and by one regular expression over the block otherwise. Both accept a block only if all of its lines
 are valid, in which case the columns they give are right; otherwise the block is halved, and halved again, until the
-bad lines are alone. Those are diagnosed by ``strict``, a character-by-character reader of the format, whose word is
+bad lines are alone. Lines of an unusual shape, by a columnar test of the batch, make blocks apart from the others, so
+few good lines share a block with bad ones. Those are diagnosed by ``strict``, a character-by-character reader of the format, whose word is
 final: a line that the columnar path cannot take but ``strict`` can is loaded.
 
 The work is done batch by batch in the tasks that read the lines. Nothing is shuffled, and memory is bounded by the
@@ -180,7 +181,7 @@ def _plain(lines: pa.Array, csv: bool, mark: str) -> pa.Table:
 
 def _quoted(lines: pa.Array, csv: bool, mark: str) -> pa.Table:
     """A block of lines that may hold quotes and line breaks, by one expression for the whole line."""
-    d = mark if mark.isalnum() or mark.isspace() else "\\" + mark
+    d = _class_of(mark)
     value = f'(?:"(?:[^"]|"")*"|[^"{d}][^"{d}]*|)'
     if csv:
         pattern = "^(?P<time>[0-9]+)" + "".join(f"{d}(?P<v{i}>{value})" for i in range(5)) + "$"
@@ -201,6 +202,24 @@ def _quoted(lines: pa.Array, csv: bool, mark: str) -> pa.Table:
     return _typed(time, _by_name(pa.concat_arrays([found.field(f"k{i}") for i in range(5)]), values, n))
 
 
+def _class_of(mark: str) -> str:
+    """The delimiter as it stands in an expression, inside or outside of brackets."""
+    return mark if mark.isalnum() or mark.isspace() else "\\" + mark
+
+
+def _usual(lines: pa.Array, csv: bool, mark: str, quoted: bool) -> np.ndarray:
+    """Which lines look as good lines of the block's kind mostly do. It only says which lines share a block."""
+    d, time = _class_of(mark), "^(?:9[0-9]{14}|[1-4][0-9]{15})"
+    in_quotes = '"(?:[^"]|"")*"'
+    number = r'"?(?:[+-]?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]{1,2})?)?"?'
+    if csv:
+        item = f'(?:{in_quotes}|[^",]*)' if quoted else "[^,]*"
+        return pc.match_substring_regex(lines, f"{time},{item},{item},{item},{number},{item}$").to_numpy(zero_copy_only=False)
+    item = f'[^"{d}]*(?:={in_quotes})?' if quoted else f"[^{d}]*"
+    tests = [f"{time}(?:{d}{item}){{5}}$", *(f"{d}{f}(?:=|{d}|$)" for f in FIELDS if f != "height"), f"{d}height(?:={number})?(?:{d}|$)"]
+    return np.logical_and.reduce([pc.match_substring_regex(lines, t).to_numpy(zero_copy_only=False) for t in tests])
+
+
 def _bisect(text: pa.Array, rows: np.ndarray, csv: bool, mark: str, quoted: bool, good: list, odd: list) -> None:
     """Appends (row numbers, columns) of good blocks to ``good`` and the numbers of the lines to be diagnosed to ``odd``.
 
@@ -235,7 +254,10 @@ def parse_batch(lines: pa.Array, layouts: pa.Array) -> tuple[pa.Table, pa.Array]
         if not kind:
             odd.extend(rows.tolist())
         else:
-            _bisect(text, rows, kind[0] == "c", kind[2:], kind[1] == "q", good, odd)
+            csv_kind, mark_kind, quoted_kind = kind[0] == "c", kind[2:], kind[1] == "q"
+            usual = _usual(text.take(pa.array(rows)), csv_kind, mark_kind, quoted_kind)
+            for block in (rows[usual], rows[~usual]):
+                _bisect(text, block, csv_kind, mark_kind, quoted_kind, good, odd)
     reasons: dict[int, str] = {}
     if odd:
         kept, loaded = [], []

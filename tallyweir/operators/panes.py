@@ -57,6 +57,10 @@ class Windows:
         shift = self.lateness % self.pane
         return floor_to(arrival - F.lit(shift), self.pane) + F.lit(shift)
 
+    def cut_off(self, window: Column) -> Column:
+        """The instant from which rows no longer count, of the window that begins there."""
+        return window + F.lit(self.size + self.lateness)
+
     def last_end(self, pane: Column) -> Column:
         """The end of the last window over the pane."""
         return floor_to(pane, self.slide) + F.lit(self.size)
@@ -86,22 +90,36 @@ def sort_out(df: DataFrame, windows: Windows, event: str = "data_time", arrival:
 
 
 def number_partials(field: str) -> dict[str, tuple[Column, str]]:
-    """Partial aggregates of a numeric field and how two of them merge. NaN and null do not count as numbers. The sum
-    is a decimal of 6 places, so it is the same for any order of rows; a number too large for it is left out of it."""
-    value = F.when(~F.isnan(ref(field)), ref(field))
-    exact = value.try_cast("decimal(18,6)")
+    """Partial aggregates of a numeric field and how two of them merge. NaN and null do not count as numbers.
+
+    Values that six decimal places say exactly, and that are below 10**12, are summed as decimals (``sum_exact``), so
+    their sum is the same for any order of rows. All others are summed as doubles (``sum_rest``) and counted
+    (``n_inexact``): nothing is left out of a sum. ``with_sums`` puts the two together.
+    """
+    value = F.when(~F.isnan(ref(field)), ref(field).cast("double"))
+    decimal = value.try_cast("decimal(18,6)")
+    exact = F.coalesce(decimal.cast("double") == value, F.lit(False))
     return {
         "n_rows": (F.count(F.lit(1)), "sum"),
         "n_values": (F.count(value), "sum"),
-        "sum_value": (F.sum(exact).cast("decimal(28,6)"), "sum"),
+        "sum_exact": (F.sum(F.when(exact, decimal).cast("decimal(38,6)")), "sum"),
+        "sum_rest": (F.sum(F.when(~exact, value)), "sum"),
+        "n_inexact": (F.count(F.when(~exact, value)), "sum"),
         "min_value": (F.min(value), "min"),
         "max_value": (F.max(value), "max"),
     }
 
 
+def with_sums(df: DataFrame) -> DataFrame:
+    """``df`` with ``sum_value`` (double; null if there was no value) in the place of sum_exact and sum_rest."""
+    zero = F.lit(0.0)
+    total = F.coalesce(F.col("sum_exact").cast("double"), zero) + F.coalesce(F.col("sum_rest"), zero)
+    total = F.when(F.col("n_values") > 0, total).alias("sum_value")
+    return df.select(*(total if c == "sum_exact" else ref(c) for c in df.columns if c != "sum_rest"))
+
+
 def _merged(name: str, how: str) -> Column:
-    merged = {"sum": F.sum, "min": F.min, "max": F.max}[how](name)
-    return (merged.cast("decimal(28,6)") if name == "sum_value" else merged).alias(name)
+    return {"sum": F.sum, "min": F.min, "max": F.max}[how](ref(name)).alias(name)
 
 
 def pane_table(df: DataFrame, windows: Windows, keys: Sequence[str], partials: dict[str, tuple[Column, str]], event: str = "data_time", arrival: str = "receive_time") -> DataFrame:
@@ -118,15 +136,15 @@ def merge_panes(panes: DataFrame, keys: Sequence[str], partials: dict[str, tuple
     return panes.groupBy(*keys, "pane_us", "slice_us").agg(*(_merged(n, how) for n, (_, how) in partials.items()))
 
 
-def _over_windows(panes: DataFrame, windows: Windows) -> DataFrame:
-    """A row for each pane, slice and window that covers the pane and was open in the slice."""
+def over_windows(panes: DataFrame, windows: Windows) -> DataFrame:
+    """A row (with ``window_us``) for each pane, slice and window that covers the pane and was open in the slice."""
     spread = panes.withColumn("window_us", F.explode(windows.starts(F.col("pane_us"))))
-    return spread.where(F.col("slice_us") < F.col("window_us") + F.lit(windows.size + windows.lateness))
+    return spread.where(F.col("slice_us") < windows.cut_off(F.col("window_us")))
 
 
-def final_windows(panes: DataFrame, windows: Windows, keys: Sequence[str], partials: dict[str, tuple[Column, str]]) -> DataFrame:
-    """keys, window_start, window_end and the aggregates of each window when it is closed."""
-    out = _over_windows(panes, windows).groupBy(*keys, "window_us").agg(*(_merged(n, how) for n, (_, how) in partials.items()))
+def composed(parts: DataFrame, windows: Windows, keys: Sequence[str], partials: dict[str, tuple[Column, str]]) -> DataFrame:
+    """keys, window_start, window_end and the merged partial aggregates of rows with ``window_us``."""
+    out = parts.groupBy(*keys, "window_us").agg(*(_merged(n, how) for n, (_, how) in partials.items()))
     return out.select(
         *keys,
         from_micros(F.col("window_us")).alias("window_start"),
@@ -135,11 +153,16 @@ def final_windows(panes: DataFrame, windows: Windows, keys: Sequence[str], parti
     )
 
 
+def final_windows(panes: DataFrame, windows: Windows, keys: Sequence[str], partials: dict[str, tuple[Column, str]]) -> DataFrame:
+    """keys, window_start, window_end and the aggregates of each window when it is closed."""
+    return composed(over_windows(panes, windows), windows, keys, partials)
+
+
 def revisions(panes: DataFrame, windows: Windows, keys: Sequence[str], partials: dict[str, tuple[Column, str]]) -> DataFrame:
     """keys, window_start, revision (from 1), emitted_at and the aggregates as known then: a row each time that rows
     received in one slice changed the window. ``emitted_at`` is the slice's end. A window has at most
     (size + lateness) / pane slices plus those before its start, so each group of the window function is small."""
-    deltas = _over_windows(panes, windows).groupBy(*keys, "window_us", "slice_us").agg(*(_merged(n, how) for n, (_, how) in partials.items()))
+    deltas = over_windows(panes, windows).groupBy(*keys, "window_us", "slice_us").agg(*(_merged(n, how) for n, (_, how) in partials.items()))
     order = Window.partitionBy(*keys, "window_us").orderBy("slice_us")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     running = {"sum": F.sum, "min": F.min, "max": F.max}
@@ -148,7 +171,7 @@ def revisions(panes: DataFrame, windows: Windows, keys: Sequence[str], partials:
         "window_us",
         F.row_number().over(order).alias("revision"),
         from_micros(F.col("slice_us") + F.lit(windows.pane)).alias("emitted_at"),
-        *((running[how](n).over(so_far)).cast("decimal(28,6)").alias(n) if n == "sum_value" else running[how](n).over(so_far).alias(n) for n, (_, how) in partials.items()),
+        *(running[how](n).over(so_far).alias(n) for n, (_, how) in partials.items()),
     )
     return out.select(*keys, from_micros(F.col("window_us")).alias("window_start"), "revision", "emitted_at", *partials)
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyweir.functions.columns import from_micros, micros
 from tallyweir.operators import panes, skew
 from tallyweir.registry import Registry
 from tallyweir.session import scratch
 from tallyweir.sources import lines
-from tallyweir.sources.tables import stream_table, table
+from tallyweir.sources.tables import table
 from tallyweir.streaming.panes import PaneStream
 
 query = Registry()
@@ -110,7 +111,10 @@ def p3_tz_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 DAILY = panes.Windows()
 THREE_DAYS = panes.Windows(size=3 * panes.DAY, slide=panes.DAY)
-_PARTIALS = """count(*) AS n_rows, count(v) AS n_values, sum(TRY_CAST(v AS DECIMAL(18,6)))::DECIMAL(28,6) AS sum_value, min(v) AS min_value, max(v) AS max_value"""
+# a value that six places do not say would be in n_inexact, and one that no decimal holds would be an error
+_PARTIALS = """count(*) AS n_rows, count(v) AS n_values, sum(CAST(v AS DECIMAL(38,6)))::DOUBLE AS sum_value, count_if(v <> CAST(v AS DECIMAL(38,6))::DOUBLE)::BIGINT AS n_inexact, min(v) AS min_value, max(v) AS max_value"""
+_RUNNING = """(sum(n_rows) OVER w)::BIGINT AS n_rows, (sum(n_values) OVER w)::BIGINT AS n_values, (sum(sum_value) OVER w)::DOUBLE AS sum_value,
+    (sum(n_inexact) OVER w)::BIGINT AS n_inexact, min(min_value) OVER w AS min_value, max(max_value) OVER w AS max_value"""
 _ROWS = """SELECT data_time, receive_time, CASE WHEN NOT isnan(height) THEN height END AS v FROM observation WHERE data_time IS NOT NULL AND receive_time IS NOT NULL"""
 
 
@@ -119,11 +123,6 @@ def _panes(spark: SparkSession, d: str, windows: panes.Windows) -> tuple[DataFra
     return panes.pane_table(table(spark, d, "observation"), windows, [], partials), partials
 
 
-def _as_numbers(df: DataFrame) -> DataFrame:
-    """Decimals as doubles: engines name decimal types differently."""
-    return df.withColumn("sum_value", F.col("sum_value").cast("double"))
-
-
 @query("SELECT obs_id FROM observation WHERE receive_time >= date_trunc('day', data_time) + INTERVAL 72 HOUR")
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """The rows that came when their day was closed."""
@@ -131,46 +130,81 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT date_trunc('day', data_time)::TIMESTAMP AS window_start, date_trunc('day', data_time)::TIMESTAMP + INTERVAL 24 HOUR AS window_end, {_PARTIALS.replace('::DECIMAL(28,6)', '::DOUBLE')}
+    f"""SELECT date_trunc('day', data_time)::TIMESTAMP AS window_start, date_trunc('day', data_time)::TIMESTAMP + INTERVAL 24 HOUR AS window_end, {_PARTIALS}
         FROM ({_ROWS}) WHERE receive_time < date_trunc('day', data_time) + INTERVAL 72 HOUR GROUP BY 1, 2"""
 )
 def p5_daily(spark: SparkSession, d: str) -> DataFrame:
     """The aggregates of each day when it is closed."""
     state, partials = _panes(spark, d, DAILY)
-    return _as_numbers(panes.final_windows(state, DAILY, [], partials))
+    return panes.with_sums(panes.final_windows(state, DAILY, [], partials))
 
 
 @query(
     f"""WITH r AS ({_ROWS}), s AS (SELECT date_trunc('day', data_time)::TIMESTAMP AS window_start, date_trunc('day', receive_time)::TIMESTAMP + INTERVAL 24 HOUR AS emitted_at, v
             FROM r WHERE receive_time < date_trunc('day', data_time) + INTERVAL 72 HOUR),
-        a AS (SELECT window_start, emitted_at, {_PARTIALS} FROM s GROUP BY 1, 2)
-        SELECT window_start, (row_number() OVER w)::INTEGER AS revision, emitted_at, (sum(n_rows) OVER w)::BIGINT AS n_rows, (sum(n_values) OVER w)::BIGINT AS n_values,
-            (sum(sum_value) OVER w)::DOUBLE AS sum_value, min(min_value) OVER w AS min_value, max(max_value) OVER w AS max_value
+        a AS (SELECT window_start, emitted_at, {_PARTIALS.replace('::DOUBLE AS sum_value', ' AS sum_value')} FROM s GROUP BY 1, 2)
+        SELECT window_start, (row_number() OVER w)::INTEGER AS revision, emitted_at, {_RUNNING}
         FROM a WINDOW w AS (PARTITION BY window_start ORDER BY emitted_at)"""
 )
 def p5_revisions(spark: SparkSession, d: str) -> DataFrame:
     """Each day's aggregates as corrected after each day of arrivals that changed them."""
     state, partials = _panes(spark, d, DAILY)
-    return _as_numbers(panes.revisions(state, DAILY, [], partials))
+    return panes.with_sums(panes.revisions(state, DAILY, [], partials))
 
 
 @query(
     f"""WITH r AS ({_ROWS}), s AS (SELECT r.*, date_trunc('day', data_time)::TIMESTAMP - to_days(k::INTEGER) AS window_start FROM r, range(3) AS k(k))
-        SELECT window_start, window_start + INTERVAL 72 HOUR AS window_end, {_PARTIALS.replace('::DECIMAL(28,6)', '::DOUBLE')} FROM s
+        SELECT window_start, window_start + INTERVAL 72 HOUR AS window_end, {_PARTIALS} FROM s
         WHERE receive_time < window_start + INTERVAL 120 HOUR GROUP BY 1, 2"""
 )
 def p5_three_days(spark: SparkSession, d: str) -> DataFrame:
     """Windows of three days that begin every day, each composed of three panes."""
     state, partials = _panes(spark, d, THREE_DAYS)
-    return _as_numbers(panes.final_windows(state, THREE_DAYS, [], partials))
+    return panes.with_sums(panes.final_windows(state, THREE_DAYS, [], partials))
 
 
-@query(SQL["p5_daily"])
-def p5_streamed(spark: SparkSession, d: str) -> DataFrame:
-    """The days' aggregates kept from a stream of the rows, some files at a time."""
+ARRIVALS = 5
+_ARRIVALS = f"""l AS (SELECT epoch_us(min(receive_time)) AS low, (epoch_us(max(receive_time)) - epoch_us(min(receive_time))) // {ARRIVALS} + 1 AS width FROM observation)"""
+
+
+def _streamed(spark: SparkSession, d: str, windows: panes.Windows) -> tuple[PaneStream, DataFrame]:
+    """A stream kept from the rows as they arrive, in ``ARRIVALS`` micro-batches of equal stretches of receive time, and
+    what it emitted. The query over the stream is stopped and started again between the batches."""
     partials = panes.number_partials("height")
     folder = scratch(spark)
-    kept = PaneStream(spark, f"{folder}/days", DAILY, [], partials)
-    rows = stream_table(spark, d, "observation", 4)
-    kept.start(rows, lambda changed, batch: None, f"{folder}/checkpoint", available_now=True).awaitTermination()
-    return _as_numbers(kept.final())
+    kept = PaneStream(spark, f"{folder}/days", windows, [], partials, compact_every=2)
+    rows = table(spark, d, "observation").select("obs_id", "data_time", "receive_time", "height")
+    low, high = rows.agg(F.min(micros(F.col("receive_time"))), F.max(micros(F.col("receive_time")))).first()
+    low, high = (0, 0) if low is None else (low, high)
+    width = (high - low) // ARRIVALS + 1
+    written = []
+    for step in range(ARRIVALS):
+        begin, end = (from_micros(F.lit(low + i * width)) for i in (step, step + 1))
+        arrived = (F.col("receive_time") >= begin) & (F.col("receive_time") < end)
+        arrived = arrived | F.col("receive_time").isNull() if step == 0 else arrived
+        rows.where(arrived).write.mode("append").parquet(f"{folder}/arrived")
+
+        def emit(changed: DataFrame, batch: int, step: int = step) -> None:
+            changed.write.mode("overwrite").parquet(f"{folder}/emitted/step={step}")
+            written.append(step)
+
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/arrived")
+        kept.start(stream, emit, f"{folder}/checkpoint", available_now=True).awaitTermination()
+    return kept, spark.read.parquet(f"{folder}/emitted") if written else kept.final().withColumn("step", F.lit(0))
+
+
+@query(SQL["p5_daily"])
+def p5_streamed(spark: SparkSession, d: str) -> DataFrame:
+    """The days' aggregates kept from a stream of the rows in the order of their arrival."""
+    return panes.with_sums(_streamed(spark, d, DAILY)[0].final())
+
+
+@query(
+    f"""WITH r AS ({_ROWS}), {_ARRIVALS}, s AS (SELECT date_trunc('day', data_time)::TIMESTAMP - to_days(k::INTEGER) AS window_start, ((epoch_us(receive_time) - low) // width)::INTEGER AS step, receive_time, v
+            FROM r, l, range(3) AS k(k)),
+        a AS (SELECT window_start, step, {_PARTIALS.replace('::DOUBLE AS sum_value', ' AS sum_value')} FROM s WHERE receive_time < window_start + INTERVAL 120 HOUR GROUP BY 1, 2)
+        SELECT window_start, window_start + INTERVAL 72 HOUR AS window_end, step, {_RUNNING} FROM a WINDOW w AS (PARTITION BY window_start ORDER BY step)"""
+)
+def p5_emitted(spark: SparkSession, d: str) -> DataFrame:
+    """What the stream emits after each micro-batch: the three-day windows that it changed, with their new aggregates."""
+    return panes.with_sums(_streamed(spark, d, THREE_DAYS)[1])

@@ -9,6 +9,8 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyweir.sources.files import Files
+
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8, name: str = "tallyweir", **conf: str) -> SparkSession:
     """A local session with the settings that the engine expects of a cluster (UTC, AQE)."""
@@ -41,13 +43,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local[") and context.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix=f"checkpoint-{os.getpid()}-")
+        Files(spark).drop_at_exit(folder)
     context.setCheckpointDir(folder)
     return folder
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder's path in the shared folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder's path in the shared folder. It is removed when the session's JVM ends, as lazy results read it
+    until then."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    Files(spark).drop_at_exit(folder)
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:

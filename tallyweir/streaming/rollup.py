@@ -18,28 +18,25 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallyweir.plans import collate as c
 from tallyweir.plans.spec import Rollup
+from tallyweir.sources.files import Files
 
 
 class StateFiles:
     """Numbered batches of rows and compacted bases in a folder of any file system that Spark knows."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
+        self.spark, self.path, self.fs = spark, path.rstrip("/"), Files(spark)
 
     def _numbers(self, folder: str, prefix: str) -> list[int]:
         """The numbers of complete folders."""
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
-        fs = at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-        if not fs.exists(at):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(at)]
-        done = [n for n in names if n.startswith(prefix) and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}/{n}/_SUCCESS"))]
-        return sorted(int(n.removeprefix(prefix)) for n in done)
-
-    def _drop(self, folder: str) -> None:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
-        at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        names = [n for n in self.fs.names(f"{self.path}/{folder}") if n.startswith(prefix)]
+        return sorted(int(n.removeprefix(prefix)) for n in names if self.fs.exists(f"{self.path}/{folder}/{n}/_SUCCESS"))
+
+    def base_path(self, upto: int) -> str:
+        return f"{self.path}/base/upto={upto}"
+
+    def batch_path(self, batch: int) -> str:
+        return f"{self.path}/batches/batch={batch}"
 
     def live(self) -> tuple[int | None, list[int]]:
         """The newest base and the batches after it."""
@@ -47,26 +44,32 @@ class StateFiles:
         base = bases[-1] if bases else None
         return base, [b for b in self._numbers("batches", "batch=") if base is None or b > base]
 
-    def append(self, rows: DataFrame, batch: int) -> None:
+    def paths(self) -> list[str]:
+        base, batches = self.live()
+        return ([self.base_path(base)] if base is not None else []) + [self.batch_path(b) for b in batches]
+
+    def append(self, rows: DataFrame, batch: int, by: Sequence[str] = ()) -> None:
+        """``by``: columns whose values become folders, so that readers may skip files."""
         base, _ = self.live()
         if base is None or batch > base:  # else it is part of the base already
-            rows.write.mode("overwrite").parquet(f"{self.path}/batches/batch={batch}")
+            rows.write.mode("overwrite").parquet(self.batch_path(batch), partitionBy=list(by) or None)
 
     def read(self) -> DataFrame | None:
-        base, batches = self.live()
-        paths = [f"{self.path}/base/upto={base}"] if base is not None else []
-        paths += [f"{self.path}/batches/batch={b}" for b in batches]
+        paths = self.paths()
         return self.spark.read.parquet(*paths) if paths else None
 
-    def replace(self, rows: DataFrame, upto: int) -> None:
-        """Makes ``rows`` the base and removes what it stands for."""
-        base, batches = self.live()
-        rows.write.mode("overwrite").parquet(f"{self.path}/base/upto={upto}")
-        for b in batches:
-            if b <= upto:
-                self._drop(f"batches/batch={b}")
-        if base is not None and base != upto:
-            self._drop(f"base/upto={base}")
+    def replace(self, rows: DataFrame, upto: int, by: Sequence[str] = ()) -> None:
+        """Makes ``rows`` the base of all batches up to that number. What it stands for stays until the next
+        replacement, so readers that were planned before find their files."""
+        previous, _ = self.live()
+        rows.write.mode("overwrite").parquet(self.base_path(upto), partitionBy=list(by) or None)
+        if previous is not None and previous != upto:
+            for b in self._numbers("batches", "batch="):
+                if b <= previous:
+                    self.fs.drop(self.batch_path(b))
+            for b in self._numbers("base", "upto="):
+                if b < previous:
+                    self.fs.drop(self.base_path(b))
 
 
 class RollupTable:

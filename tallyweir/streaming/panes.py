@@ -31,7 +31,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tallyweir.functions.columns import ref
 from tallyweir.operators import panes as p
 from tallyweir.sources.files import Files
-from tallyweir.streaming.rollup import StateFiles
+from tallyweir.streaming.rollup import StateFiles, read_folders
 
 #: A batch that touches more eras than this reads all of them; the driver gets one number an era.
 MAX_ERAS = 4096
@@ -127,10 +127,7 @@ class PaneStream:
         return T.StructType([*fields, T.StructField("era", T.LongType())])
 
     def _read(self, paths: list[str], eras: list[int] | None = None, times: tuple[str, ...] = ("pane_us", "slice_us")) -> DataFrame:
-        schema = self._schema(*times)
-        parents = dict.fromkeys(path.rpartition("/")[0] for path in paths)
-        read = [self.spark.read.schema(schema).option("basePath", parent).parquet(*(x for x in paths if x.rpartition("/")[0] == parent)) for parent in parents]
-        rows = reduce(DataFrame.unionByName, (x.select(*(ref(n) for n in schema.names)) for x in read))
+        rows = read_folders(self.spark, self._schema(*times), paths)
         return rows if eras is None else rows.where(F.col("era").isin(eras))
 
     def _clock(self, base: int | None) -> int | None:

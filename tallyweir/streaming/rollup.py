@@ -12,10 +12,13 @@ proportional to the keys of the batch, not to all keys, and no state lives in me
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tallyweir.functions.columns import ref
 from tallyweir.plans import collate as c
 from tallyweir.plans.spec import Rollup
 from tallyweir.sources.files import Files
@@ -72,6 +75,13 @@ class StateFiles:
                     self.fs.drop(self.base_path(b))
 
 
+def read_folders(spark: SparkSession, schema: T.StructType, paths: Sequence[str]) -> DataFrame:
+    """The rows of folders that are partitioned by columns of the schema; empty folders are allowed."""
+    parents = dict.fromkeys(path.rpartition("/")[0] for path in paths)
+    read = [spark.read.schema(schema).option("basePath", parent).parquet(*(x for x in paths if x.rpartition("/")[0] == parent)) for parent in parents]
+    return reduce(DataFrame.unionByName, (x.select(*(ref(n) for n in schema.names)) for x in read))
+
+
 class RollupTable:
     def __init__(self, spark: SparkSession, path: str, rollup: Rollup, compact_every: int = 20) -> None:
         self.files, self.rollup, self.compact_every = StateFiles(spark, path), rollup, compact_every

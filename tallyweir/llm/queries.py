@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweir.llm import mixing, percentiles, seen, spans, tokens
+from tallyweir.llm.history import KeyHistory
+from tallyweir.session import scratch
 from tallyweir.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,13 +30,19 @@ def query(sql: str | None = None):
 # --- 2: has this key been seen before?
 
 
-def _probed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    log = table(spark, d, "key_log")
-    rows = table(spark, d, "obs_row").select(F.col("row_id").alias("id"), seen.first_value(F.col("data"), "iata").alias("key"))
-    rows = rows.where("id is not null and key is not null")
-    shards = seen.shards_for(log.count() + table(spark, d, "obs_row").count())
-    keys = seen.distinct_keys(log, F.col("iata"))
-    return rows, seen.probe(rows, keys, seen.build(keys, shards), shards)
+def _rows(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "obs_row").select(F.col("row_id").alias("id"), seen.first_value(F.col("data"), "iata").alias("key"))
+
+
+def _probed(spark: SparkSession, d: str, one_in: int = seen.ONE_IN) -> tuple[DataFrame, DataFrame]:
+    """The stream of keys, and what sets of a rate of at most one in ``one_in`` say of it. Only the sets in use have room
+    for growth; others are as narrow as the rows of these tables allow."""
+    log, rows = table(spark, d, "key_log"), _rows(spark, d)
+    n = log.count() + table(spark, d, "obs_row").count()
+    shards = seen.shards_for(n)
+    width = seen.WIDTH if one_in == seen.ONE_IN else seen.width_for(one_in, n // shards)
+    stream = seen.hashes(rows, F.col("key"), F.col("id"))
+    return stream, seen.probe(stream, seen.build(seen.hashes(log, F.col("iata")), shards, width), shards, width=width)
 
 
 @query(
@@ -42,15 +51,48 @@ def _probed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
        WHERE earliest < row_id OR key IN (SELECT iata FROM key_log WHERE iata IS NOT NULL)"""
 )
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """The Rows whose iata occurred in the log or in an earlier Row."""
-    rows, probed = _probed(spark, d)
-    return seen.seen(rows, probed).select(F.col("id").alias("row_id"))
+    """The Rows whose iata occurred in the log or in an earlier Row, as the sets say."""
+    return seen.seen(*_probed(spark, d)).select(F.col("id").alias("row_id"))
+
+
+#: Sets as they are used, and sets so narrow that false positives are to be found even in small tables.
+AUDITED = (seen.ONE_IN, 64, 8)
 
 
 @query()
 def p2_rates(spark: SparkSession, d: str) -> DataFrame:
-    """The rate of wrong answers, in theory and as audited."""
-    return seen.rates(_probed(spark, d)[1])
+    """The rate of wrong answers in theory and as audited on a sample of the keys, for sets of several widths."""
+    log, out = table(spark, d, "key_log").select(F.col("iata").alias("key")), []
+    for one_in in AUDITED:
+        audited = seen.audit(_rows(spark, d), log, _probed(spark, d, one_in)[1])
+        out.append(audited.select(F.lit(one_in).alias("one_in"), *audited.columns))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query(
+    f"""WITH k AS (SELECT row_id, list_filter(data, lambda x: x.f = 'iata')[1].v AS key FROM obs_row)
+        SELECT b::INTEGER AS one_in, n AS audited, 0::BIGINT AS missed, true AS within_limits FROM (SELECT unnest([{', '.join(map(str, AUDITED))}]) AS b),
+            (SELECT count(DISTINCT key) AS n FROM k WHERE key <> '' AND substr(md5(key), 1, 2) < '{seen.SAMPLE:02x}' AND key NOT IN (SELECT iata FROM key_log WHERE iata IS NOT NULL))"""
+)
+def p2_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the audited number of false positives is what theory lets expect, and nothing was missed."""
+    return p2_rates(spark, d).select("one_in", "audited", "missed", "within_limits")
+
+
+@query(SQL["p2_found"])
+def p2_history(spark: SparkSession, d: str) -> DataFrame:
+    """The same of rows that come in five batches, each probing what is stored of the log and the batches before."""
+    log, rows = table(spark, d, "key_log"), _rows(spark, d).where("id is not null")
+    low, high, n = rows.agg(F.min("id"), F.max("id"), F.count(F.lit(1))).first()
+    history = KeyHistory(spark, scratch(spark), seen.shards_for(log.count() + n))
+    history.learn(log, "iata", 0)
+    width, out = ((high or 0) - (low or 0)) // 5 + 1, []
+    for batch in range(1, 6):
+        begin = (low or 0) + (batch - 1) * width
+        out.append(history.probe(rows.where((F.col("id") >= begin) & (F.col("id") < begin + width)), "key", "id", batch))
+        if batch == 3:
+            history.compact()
+    return reduce(DataFrame.unionByName, out).where("seen").select(F.col("id").alias("row_id"))
 
 
 # --- 4: percentiles of very large numeric columns

@@ -31,7 +31,7 @@ def _times_prime(hi: Column, lo: Column) -> tuple[Column, Column]:
     return high.bitwiseAND(_long(_MASK)), low.bitwiseAND(_long(_MASK))
 
 
-def _fnv(value: Column, kind: str, xor_first: bool) -> Column:
+def _fnv(value: Column, kind: str, xor_first: bool, start: Column | None) -> Column:
     digits = _hex(value, kind)
     n = F.length(digits)
     starts = F.when(n > 0, F.sequence(F.lit(1), n - 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
@@ -46,24 +46,44 @@ def _fnv(value: Column, kind: str, xor_first: bool) -> Column:
             lo = lo.bitwiseXOR(byte)
         return F.struct(hi.alias("hi"), lo.alias("lo"))
 
-    begin = F.struct(_long(OFFSET >> 32).alias("hi"), _long(OFFSET & _MASK).alias("lo"))
+    if start is None:
+        begin = F.struct(_long(OFFSET >> 32).alias("hi"), _long(OFFSET & _MASK).alias("lo"))
+    else:
+        begin = F.struct(F.shiftrightunsigned(start, 32).alias("hi"), start.bitwiseAND(_long(_MASK)).alias("lo"))
     hash = F.aggregate(starts, begin, step, lambda s: F.shiftleft(s["hi"], 32).bitwiseOR(s["lo"]))
-    return F.when(value.isNotNull(), hash)
+    return F.when(value.isNotNull() if start is None else value.isNotNull() & start.isNotNull(), hash)
 
 
-def fnv1(value: Column, kind: str = "string") -> Column:
-    """FNV-1 as a signed BIGINT with the hash's 64 bits. ``kind`` is the column's type name."""
-    return _fnv(value, kind, False)
+def fnv1(value: Column, kind: str = "string", start: Column | None = None) -> Column:
+    """FNV-1 as a signed BIGINT with the hash's 64 bits. ``kind`` is the column's type name. ``start``: the hash of what
+    comes before, which is then continued."""
+    return _fnv(value, kind, False, start)
 
 
-def fnv1a(value: Column, kind: str = "string") -> Column:
+def fnv1a(value: Column, kind: str = "string", start: Column | None = None) -> Column:
     """FNV-1a, likewise."""
-    return _fnv(value, kind, True)
+    return _fnv(value, kind, True, start)
+
+
+class Fnv:
+    """The same on the driver, piece by piece. ``value`` is unsigned."""
+
+    def __init__(self, xor_first: bool = False) -> None:
+        self.xor_first = xor_first
+        self.reset()
+
+    def reset(self) -> None:
+        self.value = OFFSET
+
+    def update(self, data: bytes | str | int) -> Fnv:
+        """Bytes, a text by its UTF-8 bytes, or an integer by its eight bytes, high byte first."""
+        if isinstance(data, int):
+            data = (data & (1 << 64) - 1).to_bytes(8, "big")
+        prime, mask = (1 << 40) + PRIME_LOW, (1 << 64) - 1
+        for byte in data.encode() if isinstance(data, str) else data:
+            self.value = ((self.value ^ byte) * prime if self.xor_first else (self.value * prime) ^ byte) & mask
+        return self
 
 
 def fnv_bytes(data: bytes, xor_first: bool = False) -> int:
-    """The same of bytes on the driver, unsigned."""
-    h, prime = OFFSET, (1 << 40) + PRIME_LOW
-    for byte in data:
-        h = ((h ^ byte) * prime if xor_first else (h * prime) ^ byte) & (1 << 64) - 1
-    return h
+    return Fnv(xor_first).update(data).value

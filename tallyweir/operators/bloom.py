@@ -11,15 +11,21 @@ Null values are neither added nor contained. '' is a value. Values are hashed as
 from __future__ import annotations
 
 import math
+import struct
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyweir.sources.files import Files
+
 #: 2 MB of words.
 IN_PLACE_BITS = 1 << 24
 IN_PLACE_HASHES = 32
 MAX_HASHES = 255
+#: The stored form begins with this byte, k in one byte and m in eight, low first.
+VERSION = 1
+_HEAD = struct.Struct("<BBQ")
 
 
 @dataclass(frozen=True)
@@ -44,6 +50,20 @@ class Shape:
         """Bytes of the bits."""
         return 8 * self.words
 
+    @property
+    def head(self) -> bytes:
+        return _HEAD.pack(VERSION, self.k, self.m)
+
+    @staticmethod
+    def of_head(data: bytes) -> Shape:
+        """The shape that a stored filter begins with; another version and a shape that is none are errors."""
+        if len(data) < _HEAD.size or data[0] != VERSION:
+            raise ValueError("not a filter of this version")
+        _, k, m = _HEAD.unpack(data[: _HEAD.size])
+        if not 1 <= k <= MAX_HASHES or m < 1:
+            raise ValueError("a filter without shape")
+        return Shape(m, k)
+
     def positions(self, value: Column) -> Column:
         """The k bits of a value by double hashing, as an array of bigints."""
         return F.transform(F.sequence(F.lit(0), F.lit(self.k - 1)), lambda i: self.position(value, i))
@@ -99,3 +119,40 @@ def estimates(filter: DataFrame, shape: Shape) -> DataFrame:
     x = F.coalesce(F.sum(F.bit_count("bits")), F.lit(0))
     items = F.ceil(-F.log(1 - F.col("set_bits") / shape.m) * shape.m / shape.k)
     return filter.agg(x.alias("set_bits")).select("set_bits", F.when(F.col("set_bits") < shape.m, items).alias("n_items"), F.pow(F.col("set_bits") / shape.m, F.lit(shape.k)).alias("false_rate"))
+
+
+def to_bytes(filter: DataFrame, shape: Shape) -> bytes:
+    """A filter of at most IN_PLACE_BITS bits as one value: its head, then its words, low byte first. Larger ones are
+    kept by ``save``."""
+    if shape.m > IN_PLACE_BITS:
+        raise ValueError("too large for one value")
+    words = _dense(filter, shape).first()["words"]
+    return shape.head + struct.pack(f"<{shape.words}q", *words)
+
+
+def from_bytes(spark: SparkSession, data: bytes) -> tuple[DataFrame, Shape]:
+    """The filter and its shape; missing or spare bytes and bits beyond m are errors."""
+    shape = Shape.of_head(data)
+    if len(data) != _HEAD.size + shape.size:
+        raise ValueError("a filter of the wrong length")
+    words = struct.unpack(f"<{shape.words}q", data[_HEAD.size :])
+    if shape.m % 64 and (words[-1] & (1 << 64) - 1) >> shape.m % 64:
+        raise ValueError("a filter with bits beyond its length")
+    return spark.createDataFrame([(i, w) for i, w in enumerate(words) if w], "word bigint, bits bigint"), shape
+
+
+def save(filter: DataFrame, shape: Shape, path: str) -> None:
+    """Writes a filter of any size with its shape; the shape is written last."""
+    files = Files(filter.sparkSession)
+    files.drop(f"{path}/shape")
+    filter.select("word", "bits").write.mode("overwrite").parquet(f"{path}/words")
+    files.write(f"{path}/shape", shape.head)
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, Shape]:
+    """A filter that ``save`` wrote; another version, a spare byte or an unfinished one is an error."""
+    head = Files(spark).read(f"{path}/shape")
+    shape = Shape.of_head(head)
+    if len(head) != _HEAD.size:
+        raise ValueError("a filter of the wrong length")
+    return spark.read.schema("word bigint, bits bigint").parquet(f"{path}/words"), shape

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,9 @@ from tallyweir.plans import collate as c
 from tallyweir.plans.dialect import Query, parse
 from tallyweir.plans.spec import MeasureSpec, Rollup, SpecError
 
+if TYPE_CHECKING:
+    from tallyweir.streaming.rollup import RollupTable
+
 
 class UnknownRollup(SpecError):
     """No rollup has this name."""
@@ -44,6 +48,11 @@ class Engine:
         """Adds a rollup that is computed from rows whenever it is asked."""
         self.create(rollup, c.collate(rows, rollup))
 
+    def create_kept(self, table: RollupTable) -> None:
+        """Adds a rollup whose states a stream or batches keep; each question merges the states of its keys as they are
+        then, and reads no rows."""
+        self.create(table.rollup, table.read)
+
     def drop(self, name: str) -> None:
         self._entries.pop(name, None)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from tallyweir.plans.spec import MeasureSpec, Rollup
 from tallyweir.registry import Registry
 from tallyweir.session import scratch
 from tallyweir.sources import observations
-from tallyweir.sources.tables import stream_table, table
+from tallyweir.sources.tables import arriving, stream_table, table
 from tallyweir.streaming import rollup as stream_rollup
 from tallyweir.streaming import windows as stream_windows
 
@@ -161,6 +162,19 @@ def uniquecount_within_bound(spark: SparkSession, d: str) -> DataFrame:
     return both.select("country", "exact", (F.abs(F.col("uniquecount_iata") - F.col("exact")) <= 2 + 6 * 1.04 / 2**5 * F.col("exact")).alias("within_bound"))
 
 
+@query(
+    """SELECT count(*) AS n_keys, true AS mean_within, true AS spread_within FROM (SELECT country FROM observation WHERE country IS NOT NULL GROUP BY country HAVING count(DISTINCT iata) >= 20)"""
+)
+def uniquecount_mean_error(spark: SparkSession, d: str) -> DataFrame:
+    """Over the countries of at least 20 codes: the mean relative error is near 0, and errors spread no more than the
+    sketch's standard error."""
+    rows = table(spark, d, "observation")
+    exact = rows.groupBy("country", "iata").agg(F.lit(1)).groupBy("country").agg(F.count("iata").alias("exact")).where("exact >= 20")
+    off = c.collate(rows, COUNTRY).join(exact, "country").select((F.col("uniquecount_iata") / F.col("exact") - 1).alias("off"))
+    n, sigma = F.count(F.lit(1)), 1.04 / 2**5
+    return off.agg(n.alias("n_keys"), (F.abs(F.avg("off")) <= 5 * sigma / F.sqrt(n)).alias("mean_within"), (F.sqrt(F.avg(F.col("off") * F.col("off"))) <= 1.5 * sigma).alias("spread_within"))
+
+
 @query("SELECT tz, count(*) AS count, true AS countries_within, true AS heights_within FROM observation WHERE tz IS NOT NULL GROUP BY 1")
 def tz_collation(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "observation")
@@ -208,11 +222,14 @@ def rollup_coarser(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(c.finish(c.merge(c.state(_events(spark, d), fine), by_type), by_type))
 
 
+USER_TYPES = Rollup("user_types", ("event_type", "user_id"), _measures("count(*)", "sum(value)", "max(value)"))
+
+
 def _engine(spark: SparkSession, d: str, strict: bool = True) -> Engine:
     engine = Engine(strict)
     rows = _events(spark, d)
     engine.create_from(VALUES, rows)
-    engine.create_from(Rollup("user_types", ("event_type", "user_id"), _measures("count(*)", "sum(value)")), rows)
+    engine.create_from(USER_TYPES, rows)
     engine.create_from(Rollup("rows", (), _measures("count(*)")), rows)
     return engine
 
@@ -227,15 +244,16 @@ def point_query_multi(spark: SparkSession, d: str) -> DataFrame:
     return _engine(spark, d).query("user_types", "SeLeCt sum(value),count(*) whERE user_id='8' and event_type='click'")
 
 
-@query("SELECT count(*) AS count FROM events WHERE false HAVING count(*) > 0")
+@query("SELECT 'there' AS asked, count(*) AS count, max(value) AS max_value FROM events WHERE event_type = 'click' HAVING count(*) > 0")
 def point_query_absent(spark: SparkSession, d: str) -> DataFrame:
-    return _engine(spark, d).query("values", "select count(*) where event_type='no such type'")
-
-
-@query("SELECT count(*) AS count FROM events WHERE false HAVING count(*) > 0")
-def point_query_missing_key(spark: SparkSession, d: str) -> DataFrame:
-    """A key without criterion gives no row."""
-    return _engine(spark, d).query("user_types", "select count(*) where event_type='click'")
+    """An unknown key value and a key without criterion give no row; the same question with the key answered does."""
+    engine = _engine(spark, d)
+    asked = {
+        "there": engine.query("values", "select count(*), max(value) where event_type='click'"),
+        "unknown": engine.query("values", "select count(*), max(value) where event_type='no such type'"),
+        "incomplete": engine.query("user_types", "select count(*), max(value) where event_type='click'"),
+    }
+    return reduce(DataFrame.unionByName, (rows.select(F.lit(name).alias("asked"), "count", "max_value") for name, rows in asked.items()))
 
 
 @query("SELECT event_type, user_id, count(*) AS count FROM events WHERE event_type = 'click' AND user_id IS NOT NULL GROUP BY 1, 2")
@@ -249,15 +267,41 @@ def point_query_lenient(spark: SparkSession, d: str) -> DataFrame:
     return _engine(spark, d, strict=False).query("values", "select count(*) median(value) where event_type='view' or colour='red'")
 
 
-@query("SELECT unnest(['values', 'user_types', 'rows']) AS name")
-def list_collations(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(n,) for n in _engine(spark, d).names()], "name string")
+def _kept(spark: SparkSession, d: str) -> Engine:
+    """An engine over rollups that a stream keeps, after four micro-batches and a compaction."""
+    folder = scratch(spark)
+    tables = [stream_rollup.RollupTable(spark, f"{folder}/{r.name}", r, compact_every=3) for r in (VALUES, USER_TYPES)]
+    stream_rollup.keep(arriving(spark, _events(spark, d), f"{folder}/in", 4), tables, f"{folder}/checkpoint", available_now=True).awaitTermination()
+    engine = Engine()
+    for t in tables:
+        engine.create_kept(t)
+    return engine
+
+
+@query(f"""SELECT 'values' AS rollup, count(*) AS count, {_SUM} AS sum_value, max(value) AS max_value, {_VAR} AS var_value FROM events WHERE event_type = 'error'
+    UNION ALL SELECT 'user_types', count(*), {_SUM}, max(value), NULL FROM events WHERE event_type = 'click' AND user_id = 8 HAVING count(*) > 0""")
+def point_query_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Questions to kept rollups, which read the states of the key asked for and no rows."""
+    engine = _kept(spark, d)
+    one = engine.query("values", "select count(*), sum(value), max(value), var(value) where event_type='error'").withColumn("rollup", F.lit("values"))
+    two = engine.query("user_types", "select count(*), sum(value), max(value) where user_id='8' and event_type='click'").withColumn("rollup", F.lit("user_types"))
+    return _rounded(one.unionByName(two, allowMissingColumns=True)).select("rollup", "count", "sum_value", "max_value", "var_value")
 
 
-@query("SELECT * FROM (VALUES ('country', 836::BIGINT, 836000::BIGINT), ('tz', 416::BIGINT, 416000::BIGINT)) v(name, bytes_per_key, bytes_for_1000)")
-def size_estimate(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(r.name, r.bytes_per_key(), r.bytes_for(1000)) for r in (COUNTRY, ZONE)]
-    return spark.createDataFrame(rows, "name string, bytes_per_key bigint, bytes_for_1000 bigint")
+@query(
+    """SELECT * FROM (SELECT 'country' AS name, count(DISTINCT country) AS n_keys, 836 * count(DISTINCT country) AS bytes FROM observation
+       UNION ALL SELECT 'tz', count(DISTINCT tz), 416 * count(DISTINCT tz) FROM observation)"""
+)
+def collation_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """The rollups of an engine by name, how many keys each has and the estimated bytes of their states."""
+    engine, rows = Engine(), table(spark, d, "observation")
+    for rollup in (COUNTRY, ZONE):
+        engine.create_from(rollup, rows)
+    sizes = []
+    for name in engine.names():
+        keys = engine.table(name).agg(F.count(F.lit(1)).alias("n_keys"))
+        sizes.append(keys.select(F.lit(name).alias("name"), "n_keys", (F.lit(engine.rollup(name).bytes_per_key()).cast("bigint") * F.col("n_keys")).alias("bytes")))
+    return reduce(DataFrame.unionByName, sizes)
 
 
 # --- observation lines
@@ -379,16 +423,35 @@ def hll_registers(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT l_returnflag, count(DISTINCT l_partkey) AS exact, true AS harmonic_within, true AS improved_within, true AS estimate_within
+    """SELECT l_returnflag, count(DISTINCT l_partkey) AS exact, true AS improved_within, true AS estimate_within
        FROM lineitem GROUP BY 1"""
 )
 def hll_estimates_within_bound(spark: SparkSession, d: str) -> DataFrame:
-    """Estimates of precision 12 within six standard errors; the harmonic one only where it is not biased."""
+    """Estimates of precision 12 within six standard errors."""
     rows, keys = table(spark, d, "lineitem"), ["l_returnflag"]
     said = hll.estimates(hll.registers(rows, keys, F.col("l_partkey"), 12), keys, 12)
     exact = rows.groupBy("l_returnflag", "l_partkey").agg(F.lit(1)).groupBy(*keys).agg(F.count("l_partkey").alias("exact"))
     near = lambda x: F.abs(F.col(x) - F.col("exact")) <= 2 + 6 * 1.04 / 64 * F.col("exact")
-    return said.join(exact, keys).select(*keys, "exact", (near("harmonic") | (F.col("exact") < 5 * 4096)).alias("harmonic_within"), near("improved").alias("improved_within"), near("estimate").alias("estimate_within"))
+    return said.join(exact, keys).select(*keys, "exact", near("improved").alias("improved_within"), near("estimate").alias("estimate_within"))
+
+
+@query(
+    """SELECT count(*) AS n_keys, true AS all_beyond, true AS harmonic_each, true AS harmonic_mean, true AS improved_mean, true AS estimate_mean
+       FROM (SELECT l_suppkey % 25 FROM lineitem WHERE l_suppkey IS NOT NULL GROUP BY 1)"""
+)
+def hll_mean_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Estimators of precision 4 where each key has at least 5 * 2**4 distinct values, so that the harmonic one is not
+    biased: each estimate within five standard errors, and the mean error over keys within five of its own."""
+    p, keys = 4, ["k"]
+    rows = table(spark, d, "lineitem").where("l_suppkey is not null").select(F.pmod("l_suppkey", F.lit(25)).alias("k"), "l_orderkey")
+    said = hll.estimates(hll.registers(rows, keys, F.col("l_orderkey"), p), keys, p)
+    exact = rows.groupBy("k", "l_orderkey").agg(F.lit(1)).groupBy("k").agg(F.count("l_orderkey").alias("exact"))
+    off = lambda x: F.col(x) / F.col("exact") - 1
+    sigma, n = 1.04 / 4, F.count(F.lit(1))
+    mean = lambda x: (F.abs(F.avg(off(x))) <= 5 * sigma / F.sqrt(n) + 0.01).alias(f"{x}_mean")
+    return said.join(exact, keys).agg(
+        n.alias("n_keys"), F.min(F.col("exact") >= 5 << p).alias("all_beyond"), F.max(F.abs(off("harmonic")) <= 5 * sigma).alias("harmonic_each"), *map(mean, ("harmonic", "improved", "estimate"))
+    )
 
 
 SHAPE = bloom.Shape.for_items(100_000, 0.01)
@@ -533,11 +596,10 @@ def lookback_uniquecount(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_VALUES)
 def stream_equals_batch(spark: SparkSession, d: str) -> DataFrame:
-    """A rollup kept from a stream in mergeable states, then read."""
+    """A rollup kept from a stream of six micro-batches in mergeable states, compacted on the way, then read."""
     folder = scratch(spark)
-    kept = stream_rollup.RollupTable(spark, f"{folder}/values", VALUES)
-    events = stream_table(spark, d, "events", 4).withColumn("value", F.col("value").cast("decimal(18,2)"))
-    stream_rollup.keep(events, [kept], f"{folder}/checkpoint", available_now=True).awaitTermination()
+    kept = stream_rollup.RollupTable(spark, f"{folder}/values", VALUES, compact_every=4)
+    stream_rollup.keep(arriving(spark, _events(spark, d), f"{folder}/in", 6), [kept], f"{folder}/checkpoint", available_now=True).awaitTermination()
     return _rounded(kept.read())
 
 

@@ -14,3 +14,9 @@ def stream_table(spark: SparkSession, folder: str, name: str, max_files: int) ->
     schema = table(spark, folder, name).schema
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
     return reader.parquet(f"{folder.rstrip('/')}/{name}.parque[t]")
+
+
+def arriving(spark: SparkSession, rows: DataFrame, path: str, files: int) -> DataFrame:
+    """A stream of rows that are written to ``files`` files first, a file in each micro-batch."""
+    rows.repartition(files).write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)

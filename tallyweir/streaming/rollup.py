@@ -88,7 +88,10 @@ class RollupTable:
 
     def append(self, rows: DataFrame, batch: int) -> None:
         """Adds the rows of a batch; a second time for the same number changes nothing."""
-        self.files.append(c.state(rows, self.rollup), batch)
+        self.append_states(c.state(rows, self.rollup), batch)
+
+    def append_states(self, states: DataFrame, batch: int) -> None:
+        self.files.append(states, batch)
         if len(self.files.live()[1]) >= self.compact_every:
             self.compact()
 
@@ -111,19 +114,23 @@ class RollupTable:
         return c.finish(c.merge(stored, wanted), wanted)
 
 
+def append_all(rows: DataFrame, tables: Sequence[RollupTable], batch: int) -> None:
+    """Adds the rows of a batch to all tables. They are read and aggregated once for all rollups; what is cached is the
+    states."""
+    if len(tables) == 1:
+        return tables[0].append(rows, batch)
+    rollups = [t.rollup for t in tables]
+    states = c.states_many(rows, rollups).persist()
+    try:
+        for i, table in enumerate(tables):
+            table.append_states(c.states_of(states, rollups, i), batch)
+    finally:
+        states.unpersist()
+
+
 def keep(stream: DataFrame, tables: Sequence[RollupTable], checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """One query that keeps all tables: each micro-batch is read once and aggregated for every rollup."""
-
-    def write(rows: DataFrame, batch: int) -> None:
-        if len(tables) > 1:  # one rollup reads the batch once anyway
-            rows.persist()
-        try:
-            for table in tables:
-                table.append(rows, batch)
-        finally:
-            rows.unpersist()
-
-    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    """One query that keeps all tables, by ``append_all``."""
+    writer = stream.writeStream.foreachBatch(lambda rows, batch: append_all(rows, tables, batch)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 

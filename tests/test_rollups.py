@@ -76,6 +76,72 @@ def test_merge_equals_whole(spark):
     assert tuple(c.finish(none, Rollup("z", (), ALL)).first()) == (0, 0, None, None, None, None, None, 0)
 
 
+def test_merge_of_many_uneven_states(spark):
+    """A few thousand states of one key, of one to thousands of rows, two fields, far from 0."""
+    n = F.when(F.col("part") % 50 == 0, 400).otherwise(F.col("part") % 4)
+    df = spark.range(3000).withColumnRenamed("id", "part").withColumn("i", F.explode(F.sequence(F.lit(0), n)))
+    noise = F.pmod(F.xxhash64("part", "i"), F.lit(1000)) / 100
+    df = df.select("part", (1e7 + noise).alias("foo"), (noise + F.col("part")).cast("decimal(18,2)").alias("bar"))
+    both = m("count", "var.foo", "sum.bar", "var.bar", "mean.foo")
+    whole, fine = c.collate(df, Rollup("w", (), both)).first(), Rollup("f", ("part",), both)
+    states = c.state(df, fine)
+    got = c.finish(c.merge(states, c.coarser(fine, [])), c.coarser(fine, [])).first()
+    assert got["count"] == whole["count"] and got["sum_bar"] == whole["sum_bar"]
+    for name in ("var_foo", "var_bar", "mean_foo"):
+        assert got[name] == pytest.approx(whole[name], rel=1e-9)
+    assert c.merge(states, fine).schema == states.schema  # so bases and batches of states may be read together
+
+
+def _exchanged(plan):
+    """What lies right below each exchange."""
+    lines = [line.lstrip(" :+-*(0123456789)") for line in plan.splitlines()]
+    return [b for a, b in zip(lines, lines[1:]) if a.startswith("Exchange")]
+
+
+def test_merge_combines_before_each_shuffle(spark):
+    df = spark.createDataFrame([("a", 1, 2.0)], "k string, part int, foo double")
+    fine = Rollup("r", ("k", "part"), ALL)
+    states = spark.createDataFrame(c.state(df, fine).collect(), c.state(df, fine).schema)  # as read from files
+    for keys in (["k", "part"], ["k"], []):
+        coarse = c.coarser(fine, keys)
+        plan = c.finish(c.merge(states, coarse), coarse)._jdf.queryExecution().executedPlan().toString()
+        below = _exchanged(plan)
+        assert "Window" not in plan and len(below) == 2
+        assert all(b.startswith(("HashAggregate", "ObjectHashAggregate", "SortAggregate")) and "partial_" in b for b in below), plan
+
+
+def test_many_rollups_from_one_scan(spark, tmp_path):
+    data = [("a", "x", 1.0), ("a", None, 2.0), (None, "y", 4.0), ("b", "x", None)]
+    df = spark.createDataFrame(data, "k string, l string, foo double")
+    df.write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    rollups = [Rollup("k", ("k",), ALL), Rollup("kl", ("k", "l"), m("count", "sum.foo")), Rollup("all", (), m("count", "max.foo")), Rollup("few", ("l",), m("count.foo"), where=F.col("foo") > 1)]
+    many = c.states_many(df, rollups)
+    assert many._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    for i, r in enumerate(rollups):
+        assert rows(c.finish(c.states_of(many, rollups, i), r)) == rows(c.collate(df, r))
+        assert rows(c.finish(c.states_of(c.states_many(df.limit(0), rollups), rollups, i), r)) == rows(c.collate(df.limit(0), r))
+    with pytest.raises(SpecError):
+        c.states_many(df, [Rollup("x", ("no",), m("count"))])
+
+
+def test_kept_rollups_read_the_key_asked_for(spark, tmp_path):
+    df = spark.createDataFrame([(f"k{i % 5}", i, float(i)) for i in range(100)], "k string, part int, foo double")
+    tables = [s.RollupTable(spark, str(tmp_path / n), Rollup(n, keys, ALL), compact_every=3) for n, keys in (("one", ("k",)), ("two", ("k", "part")))]
+    for batch in range(5):
+        for _ in range(2):  # a batch that runs again counts once
+            s.append_all(df.where(F.col("part") % 5 == batch), tables, batch)
+    engine = Engine()
+    for t in tables:
+        engine.create_kept(t)
+        assert rows(t.read(["k"]).drop("var_foo", "uniquecount_foo")) == rows(c.collate(df, Rollup("x", ("k",), ALL)).drop("var_foo", "uniquecount_foo"))
+    asked = engine.query("one", "select count(*), sum(foo) where k='k3'")
+    assert tuple(asked.first()) == (20, sum(range(3, 100, 5)))
+    assert "EqualTo(k,k3)" in asked._jdf.queryExecution().executedPlan().toString()
+    assert engine.query("two", "select sum(foo) where k='k3' and part='8'").first()[0] == 8
+    assert len(tables[0].files._numbers("batches", "batch=")) == 5  # what the only base stands for is kept until the next
+
+
 def test_measures_share_their_parts():
     shared = c._parts(Rollup("r", (), m("sum.foo", "mean.foo", "var.foo", "count.foo")))
     assert sorted(shared) == ["foo__m2", "foo__n", "foo__present", "foo__sum"]

@@ -32,6 +32,19 @@ def test_fnv_kinds(spark):
             assert b & (1 << 64) - 1 == fnv.fnv_bytes((n & (1 << 64) - 1).to_bytes(8, "big"), True)
 
 
+def test_fnv_in_pieces(spark):
+    for first in (False, True):
+        h = fnv.Fnv(first).update(b"foo").update("bär").update(-5)
+        assert h.value == fnv.fnv_bytes(b"foo" + "bär".encode() + (2**64 - 5).to_bytes(8, "big"), first)
+        h.reset()
+        assert h.value == fnv.OFFSET
+        f = fnv.fnv1a if first else fnv.fnv1
+        df = spark.createDataFrame([("foo", "bär", -5), ("", "", 0), (None, "x", 1), ("x", "y", None)], "a string, b string, n bigint")
+        got = df.select(f(F.col("n"), "bigint", f(F.col("b"), start=f(F.col("a"))))).collect()
+        assert [None if r[0] is None else r[0] & 2**64 - 1 for r in got[:2]] == [fnv.fnv_bytes(b"foo" + "bär".encode() + (2**64 - 5).to_bytes(8, "big"), first), fnv.fnv_bytes(bytes(8), first)]
+        assert got[2][0] is None and got[3][0] is None
+
+
 @pytest.mark.parametrize("width", [1, 3, 4, 8])
 def test_bucket_arrays(width):
     rng = np.random.default_rng(width)
@@ -66,6 +79,66 @@ def test_hll_accuracy(spark, p, d, short):
     assert abs(r["improved"] - d) <= 3 + 4 * 1.04 / math.sqrt(2**p) * d
 
 
+#: The published bounds of the standard error over ten seeds, for random values.
+BOUNDS = (
+    (4, 4, 1.1), (4, 8, 2.5), (4, 16, 4.0), (4, 40, 9.0), (4, 400, 100), (4, 4000, 1200),
+    (10, 40, 1.2), (10, 400, 10), (10, 4000, 120), (10, 40000, 1200),
+    (14, 40, 1.2), (14, 400, 2.6), (14, 4000, 20), (14, 40000, 400), (14, 400000, 3500),
+    (16, 10, 1.2),
+)
+
+
+def test_hll_error_sweep(spark):
+    """Other hashes than those of the bounds, so each may be passed by half, or reach twice the theory: the standard error
+    of the harmonic estimator is 1.04 / sqrt(m) where it is not biased."""
+    found = {(r["p"], r["d"]): r for r in hll.error_sweep(spark, [(p, d) for p, d, _ in BOUNDS]).collect()}
+    assert len(found) == len(BOUNDS)
+    for p, d, bound in BOUNDS:
+        r, theory = found[p, d], 1.04 / math.sqrt(1 << p) * d
+        assert r["estimate"] <= max(1.5 * bound, 2 * theory) + 1, (p, d)
+        if d >= 5 << p:
+            assert r["harmonic"] <= 2 * theory and r["improved"] <= 2 * theory
+            assert r["harmonic"] >= theory / 4
+
+
+def test_hll_bytes(spark):
+    df = spark.createDataFrame([("a", i) for i in range(500)] + [("b", 7), (None, 8)], "k string, v bigint")
+    regs = hll.registers(df, ["k"], F.col("v"), 8)
+    stored = hll.to_bytes(regs, ["k"], 8)
+    assert {len(r["sketch"]) for r in stored.collect()} == {hll.size(8)} == {2 + 10 + 192}
+    assert rows(hll.from_bytes(stored, ["k"])) == rows(regs)
+    twice = stored.unionByName(stored).unionByName(spark.createDataFrame([("a", None)], stored.schema))
+    assert rows(hll.from_bytes(twice, ["k"])) == rows(regs)
+    whole = hll.registers(df, [], F.col("v"), 6)
+    assert rows(hll.from_bytes(hll.to_bytes(whole, [], 6), [])) == rows(whole)
+    assert hll.to_bytes(regs.limit(0), ["k"], 8).count() == 0 == hll.from_bytes(stored.limit(0), ["k"]).count()
+    data = bytes(stored.first()["sketch"])
+    for bad in (data[:-1], data + b"x", b"\7" + data[1:], data[:1] + b"\7" + data[2:], data[:1] + b"\3" + data[2:], b"", b"\1"):
+        with pytest.raises(ValueError):
+            hll.unpack(bad)
+    mixed = stored.unionByName(hll.to_bytes(hll.registers(df, ["k"], F.col("v"), 9), ["k"], 9))
+    with pytest.raises(Exception, match="different precisions"):
+        hll.from_bytes(mixed, ["k"]).collect()
+
+
+def test_bloom_bytes(spark, tmp_path):
+    shape = bloom.Shape(1000, 5)
+    df = spark.createDataFrame([("foo",), ("bar",), (None,)], "v string")
+    made = bloom.build(df, F.col("v"), shape)
+    data = bloom.to_bytes(made, shape)
+    again, same = bloom.from_bytes(spark, data)
+    assert same == shape and rows(again) == rows(made) and len(data) == 10 + shape.size
+    for bad in (data[:-1], data + b"x", b"\7" + data[1:], data[:1] + b"\0" + data[2:], data[:-1] + b"\xff", b""):
+        with pytest.raises(ValueError):
+            bloom.from_bytes(spark, bad)
+    with pytest.raises(ValueError):
+        bloom.to_bytes(made, bloom.Shape(bloom.IN_PLACE_BITS + 1, 2))
+    bloom.save(made, shape, str(tmp_path / "f"))
+    again, same = bloom.load(spark, str(tmp_path / "f"))
+    assert same == shape and rows(again) == rows(made)
+    assert rows(bloom.probe(df, F.col("v"), again, same).where("contained").select("v")) == [("bar",), ("foo",)]
+
+
 def test_hll_union_nulls_and_limits(spark):
     a, b = (spark.range(n, n + 500).select(F.lit("k").alias("k"), F.when(F.col("id") % 5 > 0, F.col("id").cast("string")).alias("x")) for n in (0, 250))
     whole = hll.registers(a.unionAll(b), ["k"], F.col("x"), 12)

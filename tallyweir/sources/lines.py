@@ -4,10 +4,12 @@ Two layouts: ``csv`` (time and five values, comma separated) and ``obs`` (time,
 character that follows the time). Valid lines are the common case, so they take a columnar path: lines are put in
 blocks of one layout and delimiter, and a block is parsed in one go, by Arrow's CSV reader where no quotes or line
 breaks occur in it and by one regular expression over the block otherwise. Both accept a block only if all of its lines
-are valid, in which case the columns they give are right; otherwise the block is halved, and halved again, until the
-bad lines are alone. Lines of an unusual shape, by a columnar test of the batch, make blocks apart from the others, so
-few good lines share a block with bad ones. Those are diagnosed by ``strict``, a character-by-character reader of the format, whose word is
-final: a line that the columnar path cannot take but ``strict`` can is loaded.
+are valid, in which case the columns they give are right; otherwise the block is parted in two, and its parts again,
+until the bad lines are alone: where the reader can tell which lines it stumbled over, into these and the others, which
+is one further call however many lines are bad, and else in the middle. The lines stumbled over are diagnosed by
+``strict``, a character-by-character reader of the format, whose word is final: a line that the columnar path cannot
+take but ``strict`` can is loaded. Nothing sorts the lines by their looks beforehand; only those without any delimiter
+after leading digits belong to no block and are diagnosed at once.
 
 The work is done batch by batch in the tasks that read the lines. Nothing is shuffled, and memory is bounded by the
 Arrow batch, so neither skewed postings nor runs of bad lines matter.
@@ -112,38 +114,42 @@ def strict(line: str | None, layout: str | None) -> tuple[str | None, tuple | No
 
 
 class _Rejected(Exception):
-    """The block holds a line that the columnar path does not take."""
+    """The block holds lines that the columnar path does not take: ``at``, their places where the reader can tell."""
 
+    def __init__(self, at: np.ndarray | None = None) -> None:
+        super().__init__()
+        self.at = at
 
-def _all(mask: pa.Array | pa.ChunkedArray) -> bool:
-    return bool(pc.all(mask, min_count=0).as_py())
 
+def _mask(mask: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Null passes."""
+    return pc.fill_null(mask, True).to_numpy(zero_copy_only=False)
 
-def _typed(time: pa.Array, values: dict[str, pa.Array]) -> pa.Table:
-    """The typed columns of a block whose heights are still text."""
-    us = time if pa.types.is_int64(time.type) else time.cast(pa.int64())
-    if not _all(pc.and_(pc.greater_equal(us, FIRST_US), pc.less(us, END_US))):
-        raise _Rejected
+
+def _typed(time: pa.Array, values: dict[str, pa.Array], ok: np.ndarray) -> pa.Table:
+    """The typed columns of a block whose times and heights are still text. ``ok``: the lines that have passed so far;
+    the block is rejected with all lines that fail any test."""
+    ok = ok & _mask(pc.match_substring_regex(time, "^[0-9]{1,18}$"))
+    us = pc.if_else(pa.array(ok), time, "0").cast(pa.int64())
+    ok &= _mask(pc.and_(pc.greater_equal(us, FIRST_US), pc.less(us, END_US)))
     text = values["height"]
     given = pc.if_else(pc.equal(text, ""), pa.scalar(None, pa.string()), text)
-    if not _all(pc.match_substring_regex(given, f"^{NUMBER}$")):
-        raise _Rejected
+    ok &= _mask(pc.match_substring_regex(given, f"^{NUMBER}$"))
+    if not ok.all():
+        given = pc.if_else(pa.array(ok), given, pa.scalar(None, pa.string()))
     height = pc.replace_substring_regex(given, "^[+]", "").cast(pa.float64())
-    if not _all(pc.is_finite(height)):
-        raise _Rejected
+    ok &= _mask(pc.is_finite(height))
+    if not ok.all():
+        raise _Rejected(np.flatnonzero(~ok))
     return pa.table([us, *(height if f == "height" else values[f] for f in FIELDS)], schema=_PARSED)
 
 
-def _by_name(names: pa.Array, values: pa.Array, n: int) -> dict[str, pa.Array]:
-    """The values of the five fields, each of which must be there once in every line; first fields, second fields, ..."""
-    codes = pc.index_in(names, _FIELDS)
-    if codes.null_count:
-        raise _Rejected
-    codes = codes.to_numpy(zero_copy_only=False).reshape(len(FIELDS), n)
-    if not (np.bitwise_or.reduce(1 << codes, axis=0) == (1 << len(FIELDS)) - 1).all():
-        raise _Rejected
+def _by_name(names: pa.Array, values: pa.Array, n: int) -> tuple[dict[str, pa.Array], np.ndarray]:
+    """The values of the five fields by name (first fields, second fields, ... of all lines are given), and which lines
+    have each field once."""
+    codes = pc.fill_null(pc.index_in(names, _FIELDS), len(FIELDS)).to_numpy(zero_copy_only=False).reshape(len(FIELDS), n)
     place = np.argsort(codes, axis=0) * n + np.arange(n)
-    return {f: values.take(pa.array(place[i])) for i, f in enumerate(FIELDS)}
+    return {f: values.take(pa.array(place[i])) for i, f in enumerate(FIELDS)}, np.bitwise_or.reduce(1 << codes, axis=0) == (1 << len(FIELDS)) - 1
 
 
 def _one(column: pa.ChunkedArray | pa.Array) -> pa.Array:
@@ -153,30 +159,43 @@ def _one(column: pa.ChunkedArray | pa.Array) -> pa.Array:
 def _plain(lines: pa.Array, csv: bool, mark: str) -> pa.Table:
     """A block of lines without quotes and line breaks, by the CSV reader."""
     names = ["time", "a", "b", "c", "d", "e"]
+    uneven: list[int | None] = []
+
+    def skip(row: pa_csv.InvalidRow) -> str:
+        uneven.append(row.number)
+        return "skip"
+
     # one buffer for the reader: the lines with a line break after each
-    if csv and not _all(pc.match_substring_regex(lines, "^[0-9]+,")):
-        raise _Rejected
     joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(lines)], pa.int32()), lines), "\n")[0].as_buffer()
     table = pa_csv.read_csv(
         pa.BufferReader(joined),
         read_options=pa_csv.ReadOptions(use_threads=False, column_names=names, block_size=max(1024, joined.size + 1)),
-        parse_options=pa_csv.ParseOptions(delimiter=mark, quote_char=False, ignore_empty_lines=False),
-        convert_options=pa_csv.ConvertOptions(
-            column_types={"time": pa.int64()} | {n: pa.string() for n in names[1:]}, strings_can_be_null=False, null_values=[]
-        ),
+        parse_options=pa_csv.ParseOptions(delimiter=mark, quote_char=False, ignore_empty_lines=False, invalid_row_handler=skip),
+        convert_options=pa_csv.ConvertOptions(column_types={n: pa.string() for n in names}, strings_can_be_null=False, null_values=[]),
     )
-    if table.num_rows != len(lines):
+    if None in uneven or table.num_rows + len(uneven) != len(lines):
         raise _Rejected
-    time, *columns = (_one(table.column(n)) for n in names)
+    bad = np.array(uneven, np.int64) - 1
+    try:
+        typed = _plain_columns(*(_one(table.column(n)) for n in names), csv=csv) if table.num_rows else None
+    except _Rejected as e:
+        raise _Rejected(np.union1d(bad, np.delete(np.arange(len(lines)), bad)[e.at])) from e
+    if uneven:
+        raise _Rejected(bad)
+    return typed
+
+
+def _plain_columns(time: pa.Array, *columns: pa.Array, csv: bool) -> pa.Table:
+    ok = np.ones(len(time), bool)
     if csv:
-        return _typed(time, dict(zip(FIELDS, columns)))
+        return _typed(time, dict(zip(FIELDS, columns)), ok)
     fields = pa.concat_arrays(columns)
     split = pc.match_substring(fields, "=")
-    if not _all(split):  # a field without = has an empty value
+    if not pc.all(split, min_count=0).as_py():  # a field without = has an empty value
         fields = pc.if_else(split, fields, pc.binary_join_element_wise(fields, "=", ""))
     halves = pc.split_pattern(fields, "=", max_splits=1).flatten()
     even = np.arange(0, 2 * len(fields), 2)
-    return _typed(time, _by_name(halves.take(pa.array(even)), halves.take(pa.array(even + 1)), len(lines)))
+    return _typed(time, *_by_name(halves.take(pa.array(even)), halves.take(pa.array(even + 1)), len(time)))
 
 
 def _quoted(lines: pa.Array, csv: bool, mark: str) -> pa.Table:
@@ -188,18 +207,17 @@ def _quoted(lines: pa.Array, csv: bool, mark: str) -> pa.Table:
     else:
         pattern = "^(?P<time>[0-9]+)" + "".join(f'{d}(?P<k{i}>[^"={d}]*)(?:=(?P<v{i}>{value}))?' for i in range(5)) + "$"
     found = pc.extract_regex(lines, pattern)
-    if found.null_count:
-        raise _Rejected
-    time = found.field("time")
-    if not _all(pc.less_equal(pc.utf8_length(time), 18)):
-        raise _Rejected
+    ok = _mask(pc.is_valid(found))
+    time = pc.fill_null(pc.struct_field(found, "time"), "")
     n = len(lines)
-    raw = pa.concat_arrays([found.field(f"v{i}") for i in range(5)])
+    part = lambda name: pc.fill_null(pc.struct_field(found, name), "")
+    raw = pa.concat_arrays([part(f"v{i}") for i in range(5)])
     bare = pc.replace_substring(pc.utf8_slice_codeunits(raw, 1, -1), '""', '"')
     values = pc.if_else(pc.starts_with(raw, '"'), bare, raw)
     if csv:
-        return _typed(time, {f: values.take(pa.array(np.arange(i * n, (i + 1) * n))) for i, f in enumerate(FIELDS)})
-    return _typed(time, _by_name(pa.concat_arrays([found.field(f"k{i}") for i in range(5)]), values, n))
+        return _typed(time, {f: values.take(pa.array(np.arange(i * n, (i + 1) * n))) for i, f in enumerate(FIELDS)}, ok)
+    named, complete = _by_name(pa.concat_arrays([part(f"k{i}") for i in range(5)]), values, n)
+    return _typed(time, named, ok & complete)
 
 
 def _class_of(mark: str) -> str:
@@ -207,33 +225,30 @@ def _class_of(mark: str) -> str:
     return mark if mark.isalnum() or mark.isspace() else "\\" + mark
 
 
-def _usual(lines: pa.Array, csv: bool, mark: str, quoted: bool) -> np.ndarray:
-    """Which lines look as good lines of the block's kind mostly do. It only says which lines share a block."""
-    d, time = _class_of(mark), "^(?:9[0-9]{14}|[1-4][0-9]{15})"
-    in_quotes = '"(?:[^"]|"")*"'
-    number = r'"?(?:[+-]?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]{1,2})?)?"?'
-    if csv:
-        item = f'(?:{in_quotes}|[^",]*)' if quoted else "[^,]*"
-        return pc.match_substring_regex(lines, f"{time},{item},{item},{item},{number},{item}$").to_numpy(zero_copy_only=False)
-    item = f'[^"{d}]*(?:={in_quotes})?' if quoted else f"[^{d}]*"
-    tests = [f"{time}(?:{d}{item}){{5}}$", *(f"{d}{f}(?:=|{d}|$)" for f in FIELDS if f != "height"), f"{d}height(?:={number})?(?:{d}|$)"]
-    return np.logical_and.reduce([pc.match_substring_regex(lines, t).to_numpy(zero_copy_only=False) for t in tests])
-
-
 def _bisect(text: pa.Array, rows: np.ndarray, csv: bool, mark: str, quoted: bool, good: list, odd: list) -> None:
     """Appends (row numbers, columns) of good blocks to ``good`` and the numbers of the lines to be diagnosed to ``odd``.
 
+    A block that fails is parted in two and both parts are taken on: where the reader tells which lines it stumbled over,
+    into these and the others, else in the middle. Lines that a reader stumbled over and few lines are diagnosed.
+
     Blocks are taken, not sliced: some Arrow kernels go wrong on sliced strings.
     """
-    if len(rows) <= LEAF:
-        odd.extend(rows.tolist())
-        return
-    try:
-        good.append((rows, (_quoted if quoted else _plain)(text.take(pa.array(rows)), csv, mark)))
-    except (_Rejected, pa.ArrowInvalid):
-        half = len(rows) // 2
-        _bisect(text, rows[:half], csv, mark, quoted, good, odd)
-        _bisect(text, rows[half:], csv, mark, quoted, good, odd)
+    while len(rows) > LEAF:
+        try:
+            good.append((rows, (_quoted if quoted else _plain)(text.take(pa.array(rows)), csv, mark)))
+            return
+        except _Rejected as e:
+            at = e.at
+        except pa.ArrowInvalid:
+            at = None
+        if at is None:
+            half = len(rows) // 2
+            _bisect(text, rows[:half], csv, mark, quoted, good, odd)
+            rows = rows[half:]
+        else:
+            odd.extend(rows[at].tolist())
+            rows = np.delete(rows, at)
+    odd.extend(rows.tolist())
 
 
 def parse_batch(lines: pa.Array, layouts: pa.Array) -> tuple[pa.Table, pa.Array]:
@@ -241,7 +256,8 @@ def parse_batch(lines: pa.Array, layouts: pa.Array) -> tuple[pa.Table, pa.Array]
     n = len(lines)
     csv = pc.fill_null(pc.equal(layouts, "csv"), False)
     text = pc.replace_substring_regex(pc.fill_null(lines, ""), "\r$", "")
-    mark = pc.if_else(csv, ",", pc.struct_field(pc.extract_regex(text, r"^[0-9]+(?P<m>[\t -/:-~])"), 0))
+    mark = pc.struct_field(pc.extract_regex(text, r"^[0-9]+(?P<m>[\t -/:-~])"), 0)
+    mark = pc.if_else(pc.and_(csv, pc.not_equal(mark, ",")), pa.scalar(None, pa.string()), mark)
     no_blocks = pc.or_(pc.is_null(mark), pc.fill_null(pc.is_in(mark, pa.array(['"', "="])), False))
     quoted = pc.match_substring_regex(text, '["\r\n]')
     kinds = pc.if_else(no_blocks, "", pc.binary_join_element_wise(pc.if_else(csv, "c", "o"), pc.if_else(quoted, "q", "p"), pc.fill_null(mark, ""), ""))
@@ -255,9 +271,7 @@ def parse_batch(lines: pa.Array, layouts: pa.Array) -> tuple[pa.Table, pa.Array]
             odd.extend(rows.tolist())
         else:
             csv_kind, mark_kind, quoted_kind = kind[0] == "c", kind[2:], kind[1] == "q"
-            usual = _usual(text.take(pa.array(rows)), csv_kind, mark_kind, quoted_kind)
-            for block in (rows[usual], rows[~usual]):
-                _bisect(text, block, csv_kind, mark_kind, quoted_kind, good, odd)
+            _bisect(text, rows, csv_kind, mark_kind, quoted_kind, good, odd)
     reasons: dict[int, str] = {}
     if odd:
         kept, loaded = [], []

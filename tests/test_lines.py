@@ -1,6 +1,7 @@
 """The strict line reader: fixed cases, the columnar path against the strict one, and the operator."""
 
 import random
+import re
 
 import pyarrow as pa
 import pytest
@@ -107,6 +108,37 @@ def test_columnar_path_agrees_with_strict(seed, monkeypatch):
         assert tuple(row.values()) == (values or (None,) * 6), line
 
 
+def test_bad_lines_are_isolated_by_failing_blocks(monkeypatch):
+    """Blocks that fail part until the bad lines are alone: no good line is diagnosed, and each bad line with a delimiter
+    was in a block that failed."""
+    rng = random.Random(8)
+    made = [_random_line(rng) for _ in range(6000)]
+    bad = {i for i, (line, layout) in enumerate(made) if L.strict(line, layout)[0]}
+    strict, columnar, diagnosed, blocks, failed = L.strict, {n: getattr(L, n) for n in ("_plain", "_quoted")}, [], [], []
+    monkeypatch.setattr(L, "LEAF", 0)
+    monkeypatch.setattr(L, "strict", lambda line, layout: diagnosed.append(line) or strict(line, layout))
+
+    def watched(name):
+        def run(lines, csv, mark):
+            blocks.append(len(lines))
+            try:
+                return columnar[name](lines, csv, mark)
+            except Exception:
+                failed.extend(lines.to_pylist())
+                raise
+
+        return run
+
+    for name in columnar:
+        monkeypatch.setattr(L, name, watched(name))
+    _, reasons = L.parse_batch(pa.array([m[0] for m in made]), pa.array([m[1] for m in made]))
+    assert {i for i, r in enumerate(reasons.to_pylist()) if r} == bad and len(bad) > 300
+    delimited = [made[i][0] for i in bad if re.match(r"[0-9]+[\t -/:-~]", made[i][0]) and made[i][0].removesuffix("\r") and re.match(r"[0-9]+(.)", made[i][0])[1] not in '"=']
+    in_failed = sum(line.removesuffix("\r") in set(failed) for line in delimited)
+    assert in_failed >= 0.95 * len(delimited)
+    assert len(diagnosed) <= 1.02 * len(bad) and len(blocks) < 120
+
+
 def test_byte_order_mark_and_blanks_are_not_digits():
     lines = ["﻿" + f"{T0},a,b,c,1,e"] + [f"{T0},a,b,c,1,e"] * 40 + [f" {T0},a,b,c,1,e"]
     _, reasons = L.parse_batch(pa.array(lines), pa.array(["csv"] * 42))

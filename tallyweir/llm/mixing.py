@@ -158,3 +158,36 @@ def report(plans: list[Plan], spark: SparkSession) -> DataFrame:
         "source string, target_share double, max_repeats int, records bigint, available_tokens bigint, budget_tokens double, "
         "used_tokens bigint, most_repeats int, actual_share double, shortfall_tokens double",
     )
+
+
+def audit(records: DataFrame, mixed: DataFrame, targets: DataFrame) -> DataFrame:
+    """source, records and what must hold of a mixture as large as all records of the targets' sources, worked out from
+    the three tables without the plans: ``within_budget`` (no source is over its budget, and one below it is short of less
+    than its largest group of equal hashes or has used every record as often as it may), ``capped`` (no record is used
+    more than max_repeats times) and ``nested`` (the records of a source are used equally often, or once more below some
+    hash). ``targets``: source, target_share, max_repeats."""
+    own = records.join(F.broadcast(targets.where("source is not null").limit(MAX_SOURCES + 1)), ["source"])
+    uses = own.join(mixed.select("id", "source", "repeats").distinct(), ["id", "source"], "left").withColumn("repeats", F.coalesce("repeats", F.lit(0)))
+    alike = uses.groupBy("source", "hash", "repeats", "target_share", "max_repeats").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("records"))
+    sums = alike.groupBy("source", "target_share", "max_repeats").agg(
+        F.sum("records").alias("records"),
+        F.sum("size").alias("available"),
+        F.sum(F.col("size") * F.col("repeats")).alias("used"),
+        F.max("size").alias("largest"),
+        F.max("repeats").alias("most"),
+        F.min("repeats").alias("least"),
+        F.collect_set("repeats").alias("kinds"),
+        F.max(F.struct("repeats", "hash")).alias("last"),  # the greatest hash of those used most
+        F.min(F.struct("repeats", "hash")).alias("first"),  # the least of those used least
+    )
+    total = records.agg(F.sum("size")).scalar()
+    budget = F.col("target_share") * total
+    full = (F.col("least") == F.greatest(F.col("max_repeats"), F.lit(0))) | (F.col("available") == 0)
+    short = budget - F.col("used")
+    return sums.select(
+        "source",
+        "records",
+        ((short >= 0) & (full | (short <= F.col("largest")))).alias("within_budget"),
+        (F.col("most") <= F.greatest(F.col("max_repeats"), F.lit(0))).alias("capped"),
+        ((F.size("kinds") == 1) | ((F.size("kinds") == 2) & (F.col("most") == F.col("least") + 1) & (F.col("last.hash") < F.col("first.hash")))).alias("nested"),
+    )

@@ -8,7 +8,8 @@ different times, are united and given to ``combine``.
 
 Null and NaN are no numbers; a group or portion without numbers has no row. A null group or portion is one of its own.
 Ties are ordinary values. Repeated rows count each time. An empty table gives empty results. The random choices are
-seeded by group and portion, so a task that runs again gives the same sketch for the same input order.
+seeded by group, portion, partition and chunk: tasks choose independently of each other, as the error bound needs, and a
+task that runs again gives the same sketch for the same input order.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +48,7 @@ def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, list]:
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
 
 
-def _sketch_chunk(chunk: list[pa.RecordBatch], k: int, number: int) -> pa.RecordBatch:
+def _sketch_chunk(chunk: list[pa.RecordBatch], k: int, *seed: int) -> pa.RecordBatch:
     table = pa.Table.from_batches(chunk)
     (a, groups), (b, portions) = _codes(table.column(0)), _codes(table.column(1))
     values = table.column(2).to_numpy()
@@ -57,7 +59,7 @@ def _sketch_chunk(chunk: list[pa.RecordBatch], k: int, number: int) -> pa.Record
     for begin, end in _groups(codes):
         group, portion = groups[int(codes[begin]) // len(portions)], portions[int(codes[begin]) % len(portions)]
         sketch = Sketch(k)
-        sketch.add(values[begin:end], _rng(group, portion, number))
+        sketch.add(values[begin:end], _rng(group, portion, *seed))
         for column, x in zip(out, (group, portion, sketch.to_bytes())):
             column.append(x)
     return pa.record_batch([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.binary())], names=["group", "portion", "sketch"])
@@ -66,14 +68,16 @@ def _sketch_chunk(chunk: list[pa.RecordBatch], k: int, number: int) -> pa.Record
 def _partial(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, rows, number = [], 0, 0
+        context = TaskContext.get()
+        task = context.partitionId() if context else 0
         for batch in batches:
             chunk.append(batch)
             rows += batch.num_rows
             if rows >= CHUNK:
-                yield _sketch_chunk(chunk, k, number)
+                yield _sketch_chunk(chunk, k, task, number)
                 chunk, rows, number = [], 0, number + 1
         if rows:
-            yield _sketch_chunk(chunk, k, number)
+            yield _sketch_chunk(chunk, k, task, number)
 
     return run
 

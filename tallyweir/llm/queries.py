@@ -144,6 +144,17 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.with_ids(table(spark, d, "documents"), ["doc_id"])
 
 
+@query("SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes, md5(coalesce(text, '')) AS bytes_md5, true AS counted FROM documents")
+def p6_audit(spark: SparkSession, d: str) -> DataFrame:
+    """The ids of each text stand for its bytes again, and are as many as the counting form says."""
+    documents = table(spark, d, "documents")
+    counted = tokens.with_counts(documents, ["doc_id", "text"])
+    ids = tokens.with_ids(counted, ["doc_id", "n_tokens"])
+    counts = ids.withColumn("counted", F.size("ids") == F.col("n_tokens"))
+    back = tokens.with_bytes(counts, ["doc_id", "counted"])
+    return back.select("doc_id", F.octet_length("bytes").cast("bigint").alias("n_bytes"), F.md5("bytes").alias("bytes_md5"), "counted")
+
+
 # --- 7: mixing sources to target weights
 
 
@@ -160,6 +171,16 @@ def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(records, plans).withColumnsRenamed({"id": "doc_id", "size": "n_tokens"})
 
 
+@query(
+    """SELECT source, count(*) AS records, true AS within_budget, true AS capped, true AS nested FROM documents
+       WHERE source IN (SELECT source FROM mix_target WHERE target_share IS NOT NULL) GROUP BY source"""
+)
+def p7_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each source's part of the mixture is within its budget, its cap and nested, from the mixture itself."""
+    records, plans = _mixture(spark, d)
+    return mixing.audit(records, mixing.mix(records, plans), table(spark, d, "mix_target").where("target_share is not null"))
+
+
 @query()
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     """The share of each source in that mixture and what it falls short of."""

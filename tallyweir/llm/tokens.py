@@ -22,6 +22,7 @@ from tallyweir.llm.wordtrie import WordTrie, read_ranks
 
 GROUP_CHARS = 1 << 20
 _tries: dict[str, WordTrie] = {}
+_pieces: dict[str, dict[int, bytes]] = {}
 
 
 def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -86,3 +87,17 @@ def with_counts(df: DataFrame, keep: Sequence[str], text: str = "text", out: str
         return pa.array(counts, pa.int64())
 
     return _apply(df, keep, text, out, T.LongType(), run_batch)
+
+
+def with_bytes(df: DataFrame, keep: Sequence[str], ids: str = "ids", out: str = "bytes", path: str | None = None) -> DataFrame:
+    """The columns ``keep`` and ``out``: the bytes that the ids of each list stand for. A null list gives null; an id that
+    the vocabulary lacks is an error."""
+
+    def run_batch(lists: pa.Array) -> pa.Array:
+        if (file := path or vocabulary()) not in _pieces:
+            ranks = read_ranks(file)
+            _pieces[file] = dict(zip(ranks.values(), ranks.keys()))
+        pieces = _pieces[file]
+        return pa.array([None if x is None else b"".join(map(pieces.__getitem__, x)) for x in lists.to_pylist()], pa.binary())
+
+    return _apply(df, keep, ids, out, T.BinaryType(), run_batch)

@@ -92,3 +92,20 @@ def test_texts_and_empty_tables(spark):
         sized = mixing.sized_records(table, tokens.with_counts, "doc_id", "text", "source", plans)
         mixing.plan_mixture(sized, plans)
         assert mixing.mix(sized, plans).count() == 0 and mixing.report(plans, spark).count() == len(targets)
+
+
+def test_audit_sees_what_is_wrong(spark):
+    rng = random.Random(3)
+    data = [(i, rng.choice(["big", "big", "mid"]), rng.choice([0, 1, 5, 40])) for i in range(400)]
+    targets = spark.createDataFrame([("big", 0.4, 1), ("mid", 0.6, 3), ("absent", 0.0, 2)], TARGETS)
+    df = mixing.hashed(spark.createDataFrame(data, RECORDS)).persist()
+    plans = mixing.plan_mixture(df, mixing.read_targets(targets))
+    mixed = mixing.mix(df, plans).persist()
+    good = {r["source"]: tuple(r)[2:] for r in mixing.audit(df, mixed, targets).collect()}
+    assert good == {"big": (True,) * 3, "mid": (True,) * 3}
+    more = mixed.withColumn("repeats", F.col("repeats") + F.when(F.col("source") == "big", 1).otherwise(0))
+    assert not any(next(tuple(r)[2:4] for r in mixing.audit(df, more, targets).collect() if r["source"] == "big"))
+    few = mixed.where((F.col("source") != "mid") | (F.col("id") % 3 == 0))
+    assert not next(r for r in mixing.audit(df, few, targets).collect() if r["source"] == "mid")["within_budget"]
+    odd = mixed.withColumn("repeats", F.when(F.col("id") % 2 == 0, 1).otherwise(0)).where("repeats > 0")
+    assert not next(r for r in mixing.audit(df, odd, targets).collect() if r["source"] == "big")["nested"]

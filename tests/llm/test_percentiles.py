@@ -106,3 +106,16 @@ def test_a_task_that_runs_again_gives_the_same(spark):
     df = spark.range(50_000).selectExpr("'g' g", "'p' p", "cast(id * 7919 % 50000 as double) x").coalesce(1)
     runs = [rows(percentiles.portions(df, F.col("g"), F.col("p"), F.col("x")).select(F.md5("sketch"))) for _ in range(2)]
     assert runs[0] == runs[1]
+
+
+def test_tasks_choose_independently(spark):
+    """Sixty-four tasks with the same rows do not flip the same coins: their rank errors differ and mostly cancel."""
+    n, tasks = 3000, 64
+    df = spark.range(tasks, numPartitions=tasks).selectExpr("'g' g", "'p' p", "explode(sequence(0, 2999)) x")
+    slim = df.selectExpr("g as group", "p as portion", "cast(x as double) as value")
+    sketches = [Sketch.from_bytes(bytes(r["sketch"])) for r in slim.mapInArrow(percentiles._partial(100), percentiles._STATE).collect()]
+    assert len(sketches) == tasks and all(s.n == n for s in sketches)
+    errors = np.array([sum(int((x < 1000).sum()) << h for h, x in enumerate(s.levels)) - 1000 for s in sketches])
+    spread = math.sqrt(np.mean([s.spread for s in sketches]))
+    assert len(set(errors.tolist())) > 1
+    assert abs(errors.sum()) <= 5 * spread * math.sqrt(tasks) < spread * tasks

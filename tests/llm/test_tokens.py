@@ -2,6 +2,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyweir.llm import tokens, wordtrie
 from tallyweir.llm.wordtrie import WordTrie, read_ranks
@@ -90,3 +91,12 @@ def test_operator(spark, plain):
 def test_nothing_is_shuffled(spark, sf):
     plan = tokens.with_ids(spark.read.parquet(f"{sf}/documents.parquet"), ["doc_id"])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_ids_stand_for_the_bytes(spark):
+    texts = ["", None, "Hello  wörld\n", "漢字" * 300, "\0\r\n\t x", "<|endoftext|>", "é\u0301 " * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").withColumn("bytes", F.lit("mine"))
+    back = tokens.with_bytes(tokens.with_ids(df, ["id", "bytes"]), ["id", "bytes"])
+    assert back.columns == ["id", "bytes_in", "bytes"]
+    assert [bytes(r["bytes"]).decode() for r in back.orderBy("id").collect()] == [t or "" for t in texts]
+    assert tokens.with_bytes(spark.createDataFrame([(None,)], "ids array<int>"), []).first()["bytes"] is None

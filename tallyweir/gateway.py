@@ -11,15 +11,17 @@ lines. Lines that do not parse become dead letters there; a posting is never hal
 
 from __future__ import annotations
 
-import os
 import uuid
 from email.message import Message
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlsplit
 
+from pyspark.sql import SparkSession
+
 from tallyweir.plans.dialect import QueryError, parse
 from tallyweir.plans.engine import Engine, UnknownRollup
 from tallyweir.plans.spec import SpecError
+from tallyweir.sources.files import Files
 
 PLAIN = ("text/plain", "application/octet-stream")
 FORM = "application/x-www-form-urlencoded"
@@ -56,14 +58,10 @@ def posting(header: str | None, body: bytes) -> bytes:
     return body
 
 
-def land(folder: str, lines: bytes) -> str:
-    """Writes a posting to the landing folder; returns the file's path."""
-    os.makedirs(folder, exist_ok=True)
-    name = uuid.uuid4().hex
-    hidden, path = os.path.join(folder, f".{name}.part"), os.path.join(folder, f"{name}.txt")
-    with open(hidden, "wb") as f:
-        f.write(lines)
-    os.rename(hidden, path)
+def land(files: Files, folder: str, lines: bytes) -> str:
+    """Writes a posting to the landing folder, on any file system that the cluster shares; returns the file's path."""
+    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}.txt"
+    files.write(path, lines)
     return path
 
 
@@ -85,8 +83,9 @@ def answer(engine: Engine, path: str, q: str | None) -> str:
         raise Refused(400, str(e)) from e
 
 
-def server(engine: Engine, folder: str, host: str = "127.0.0.1", port: int = 2525) -> ThreadingHTTPServer:
+def server(engine: Engine, spark: SparkSession, folder: str, host: str = "127.0.0.1", port: int = 2525) -> ThreadingHTTPServer:
     """A server that is ready for ``serve_forever``; port 0 takes a free one."""
+    files = Files(spark)
 
     class Handler(BaseHTTPRequestHandler):
         def _body(self) -> bytes:
@@ -108,7 +107,7 @@ def server(engine: Engine, folder: str, host: str = "127.0.0.1", port: int = 252
                 if url.path == "/obs":
                     if method != "POST":
                         raise Refused(405, "method not allowed")
-                    land(folder, posting(self.headers.get("Content-Type"), body))
+                    land(files, folder, posting(self.headers.get("Content-Type"), body))
                     self._reply(200, "")
                 elif url.path.startswith("/collation/"):
                     if method not in ("GET", "POST"):

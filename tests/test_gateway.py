@@ -18,8 +18,8 @@ ROLLUP = Rollup("country", ("country",), (MeasureSpec("count"), MeasureSpec("max
 def front(spark, tmp_path):
     kept = s.RollupTable(spark, str(tmp_path / "kept"), ROLLUP)
     engine = Engine()
-    engine.create(ROLLUP, kept.read)
-    http = gateway.server(engine, str(tmp_path / "in"), port=0)
+    engine.create_kept(kept)
+    http = gateway.server(engine, spark, str(tmp_path / "in"), port=0)
     threading.Thread(target=http.serve_forever, daemon=True).start()
     yield f"http://127.0.0.1:{http.server_port}", tmp_path, kept
     http.shutdown()

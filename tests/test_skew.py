@@ -87,3 +87,16 @@ def test_no_task_gets_a_heavy_key(spark):
     df = spark.range(1000).selectExpr("'hot' key", "cast(id % 7 as string) value")
     plan = skew.measures(df, "key", "value")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 2 and plan.count("partial_sum") >= 2
+
+
+def test_percentiles_of_values_that_hardly_differ(spark):
+    """Thousands of neighbouring doubles, values near 0, and both signs: the refinement still parts them."""
+    dense = [math.nextafter(1.0, 2.0, steps=i) for i in range(3000)]
+    tiny = [sign * 1e-200 * (1 + i * 1e-9) for i in range(1500) for sign in (1, -1)] + [5e-324 * i for i in range(500)]
+    data = [("d", v) for v in dense] + [("t", v) for v in tiny] + [("i", v) for v in (float("inf"), float("-inf"), 1e308, -1e308, 0.0)]
+    df = spark.createDataFrame(data, "key string, number double").repartition(3)
+    wanted, expected = (1, 500, 777, 1000), []
+    for key in "dti":
+        own = sorted(v for k, v in data if k == key)
+        expected += [(key, p, len(own), own[max(1, -(-len(own) * p // 1000)) - 1]) for p in wanted]
+    assert rows(skew.percentiles(df, "key", "number", wanted)) == sorted(expected, key=repr)

@@ -10,8 +10,8 @@
    the marked stretches of each record are united.
 
 Minimisers that are very common are not sent to one bucket. The ``MAX_HOT`` most common of those with more than
-``HOT`` occurrences are known before step 1 (one aggregation, at most MAX_HOT numbers on the driver); their windows are
-counted by their 128-bit fingerprints in a Spark aggregation that combines before its shuffle. Any other minimiser that
+``HOT`` occurrences are known before step 1: each task sends on those that are one in ``RARE`` of its super-k-mers at
+least, a summary of bounded size, and the driver gets at most MAX_HOT numbers. Their windows are counted by their 128-bit fingerprints in a Spark aggregation that combines before its shuffle. Any other minimiser that
 turns out to have more than ``CHUNK`` characters of different super-k-mers in its bucket is handed to the same
 aggregation while it streams through, so no task gathers an unbounded group.
 
@@ -36,6 +36,7 @@ from tallyweir.session import cut
 
 CHUNK = 1 << 20
 HOT, MAX_HOT = 50_000, 10_000
+RARE, HELD = 1 << 14, 1 << 20
 
 _COUNTS = "minimiser bigint, n bigint"
 _PACKED = "minimiser bigint, print bigint, packed string, low bigint, high bigint"
@@ -78,11 +79,29 @@ def _distinct(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
+def _added(parts: list[tuple[np.ndarray, np.ndarray]], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of counts by minimiser, of those that have at least so many."""
+    minimisers, place = np.unique(np.concatenate([m for m, _ in parts]), return_inverse=True)
+    counts = np.zeros(len(minimisers), np.int64)
+    np.add.at(counts, place, np.concatenate([n for _, n in parts]))
+    return minimisers[counts >= least], counts[counts >= least]
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The minimisers that are at least one in ``RARE`` of the task's super-k-mers, with their counts. What is held is
+    cut to these whenever it grows over ``HELD``."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size, total = 0, 0
     for batch in batches:
         for parts, _, _ in _parts(batch):
             found = sk.super_kmers(sk.Text.of(parts), prints=False)
-            yield _batch(_COUNTS, *np.unique(found.minimiser, return_counts=True))
+            held.append(np.unique(found.minimiser, return_counts=True))
+            size, total = size + len(held[-1][0]), total + len(found.minimiser)
+            if size > HELD:
+                held = [_added(held, total // RARE)]
+                size = len(held[0][0])
+    if held:
+        yield _batch(_COUNTS, *_added(held, total // RARE))
 
 
 def _window_rows(text: sk.Text, owner_minimiser: np.ndarray, owner_print: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[pa.RecordBatch]:

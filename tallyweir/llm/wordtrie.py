@@ -21,7 +21,7 @@ import regex
 #: The words of the text, with the space before: fixed by the vocabulary's publisher.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MAX_NODES, MAX_WORDS, MAX_PAIRS = 400_000, 200_000, 500_000
-#: Longer words (bytes) are encoded by the same rule without taking nodes.
+#: Bytes of a word that take nodes. What a word has beyond shares its prefix with the words beside it in their order only.
 LONG = 64
 _NEVER = 1 << 40
 
@@ -125,20 +125,17 @@ class WordTrie:
         edges, nodes = self.edges, self.last
         path, on_path, before = b"", [0], [-1]  # the bytes, nodes and last tokens down to where the walk is
         for word, text in sorted((w.encode(), w) for w in words):
-            if len(word) > LONG:
-                states = [-1]
-                for depth in range(1, len(word) + 1):
-                    states.append(self._last_token(word, depth, states))
-                self.known[text] = self._ids(word, states)
-                continue
             shared = 0
             for a, b in zip(path, word):
                 if a != b:
                     break
                 shared += 1
-            del on_path[shared + 1 :], before[shared + 1 :]
+            del on_path[min(shared, LONG) + 1 :], before[shared + 1 :]
             node = on_path[-1]
             for depth in range(shared + 1, len(word) + 1):
+                if depth > LONG:
+                    before.append(self._last_token(word, depth, before))
+                    continue
                 edge = node << 8 | word[depth - 1]
                 node = edges.get(edge, 0)
                 if node:

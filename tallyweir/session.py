@@ -57,8 +57,9 @@ def scratch(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder; later reads survive the loss of any executor."""
-    checkpoint_dir(df.sparkSession)
+    """``df`` written once to the shared folder; later reads survive the loss of any executor. The session's part of that
+    folder is removed when its JVM ends."""
+    Files(df.sparkSession).drop_at_exit(checkpoint_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

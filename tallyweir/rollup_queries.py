@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyweir import gateway
 from tallyweir.functions import fnv, stats
 from tallyweir.functions.columns import micros
 from tallyweir.operators import bloom, counters, hll, windowed
@@ -256,6 +257,16 @@ def point_query_absent(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, (rows.select(F.lit(name).alias("asked"), "count", "max_value") for name, rows in asked.items()))
 
 
+@query(
+    """SELECT unnest([1, 2, 3])::INTEGER AS line, unnest(['event_type=error', 'max(value)=' || CASE WHEN m = floor(m) THEN m::BIGINT::VARCHAR ELSE m::VARCHAR END, 'count(*)=' || n]) AS text
+       FROM (SELECT max(value) AS m, count(*) AS n FROM events WHERE event_type = 'error')"""
+)
+def gateway_answer(spark: SparkSession, d: str) -> DataFrame:
+    """A question as the HTTP front gets it, and the text that it answers."""
+    text = gateway.answer(_engine(spark, d), "/collation/values", "select max(value), count(*) where event_type='error'")
+    return spark.createDataFrame(list(enumerate(text.splitlines(), 1)), "line int, text string")
+
+
 @query("SELECT event_type, user_id, count(*) AS count FROM events WHERE event_type = 'click' AND user_id IS NOT NULL GROUP BY 1, 2")
 def point_query_partial_keys(spark: SparkSession, d: str) -> DataFrame:
     return _engine(spark, d).query("user_types", "select count(*) where event_type='click'", partial_keys=True)
@@ -361,6 +372,17 @@ def obs_rollup(spark: SparkSession, d: str) -> DataFrame:
     return c.collate(rows, Rollup("country", ("country",), _measures("count(*)", "count(height)", "max(height)")))
 
 
+@query(
+    f"""SELECT country, count(*) AS count, min(h) AS min_height, max(h) AS max_height FROM (SELECT {_FIRST.format(f='country')} AS country,
+        CASE WHEN regexp_full_match({_FIRST.format(f='height')}, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN TRY_CAST({_FIRST.format(f='height')} AS DOUBLE) END AS h FROM obs_row)
+        WHERE country IS NOT NULL GROUP BY 1"""
+)
+def obs_rollup_of_text(spark: SparkSession, d: str) -> DataFrame:
+    """Measures that need numbers over a field that is text: the rollup reads the numbers itself."""
+    rows = observations.fields(table(spark, d, "obs_row"), ["country", "height"])
+    return c.collate(rows, Rollup("country", ("country",), _measures("count(*)", "min(height)", "max(height)")))
+
+
 # --- counters, statistics, hashes
 
 
@@ -386,15 +408,15 @@ def stderr_of_estimate(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type").agg(stats.error_of_estimate(F.col("value"), F.lit(20.0)).cast("float").alias("error"))
 
 
-def _fnv_sql(xor_first: bool) -> str:
-    byte = "('0x' || substr(hex(encode(iata)), 2 * i::INTEGER + 1, 2))::UHUGEINT"
+def _fnv_sql(xor_first: bool, text: str = "iata") -> str:
+    byte = f"('0x' || substr(hex(encode({text})), 2 * i::INTEGER + 1, 2))::UHUGEINT"
     step = "xor(h, b) * 1099511628211 % 18446744073709551616" if xor_first else "xor(h * 1099511628211 % 18446744073709551616, b)"
-    return f"""SELECT iata, (list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(range(strlen(iata)), lambda i: {byte})), lambda h, b: {step}))::VARCHAR AS hash
+    return f"""SELECT iata, (list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(range(strlen({text})), lambda i: {byte})), lambda h, b: {step}))::VARCHAR AS hash
         FROM airport"""
 
 
 def _fnv(df: DataFrame, f) -> DataFrame:
-    h = f(F.col("iata"))
+    h = f(F.col("iata")) if callable(f) else f
     unsigned = F.when(h < 0, h.cast("decimal(20,0)") + F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(h.cast("decimal(20,0)"))
     return df.select("iata", unsigned.cast("decimal(20,0)").cast("string").alias("hash"))
 
@@ -409,6 +431,12 @@ def fnv1a_hash(spark: SparkSession, d: str) -> DataFrame:
     return _fnv(table(spark, d, "airport"), fnv.fnv1a)
 
 
+@query(_fnv_sql(True, "(iata || name)"))
+def fnv1a_continued(spark: SparkSession, d: str) -> DataFrame:
+    """The hash of two fields one after the other, continued from that of the first."""
+    return _fnv(table(spark, d, "airport"), fnv.fnv1a(F.col("name"), start=fnv.fnv1a(F.col("iata"))))
+
+
 # --- HyperLogLog, Bloom, top-k, frequency, quantiles
 
 
@@ -422,6 +450,15 @@ def hll_registers(spark: SparkSession, d: str) -> DataFrame:
     return hll.registers(table(spark, d, "events"), ["event_type"], F.col("user_id"), 10, h, 60)
 
 
+@query(SQL["hll_registers"])
+def hll_stored(spark: SparkSession, d: str) -> DataFrame:
+    """The same registers after they were stored as bytes, half of the rows in each sketch, and united."""
+    h = F.conv(F.substring(F.md5(F.col("user_id").cast("string")), 1, 15), 16, 10).cast("bigint")
+    rows = table(spark, d, "events")
+    halves = [hll.to_bytes(hll.registers(rows.where(F.pmod("event_id", F.lit(2)) == i), ["event_type"], F.col("user_id"), 10, h, 60), ["event_type"], 10) for i in (0, 1)]
+    return hll.from_bytes(halves[0].unionByName(halves[1]), ["event_type"])
+
+
 @query(
     """SELECT l_returnflag, count(DISTINCT l_partkey) AS exact, true AS improved_within, true AS estimate_within
        FROM lineitem GROUP BY 1"""
@@ -464,6 +501,16 @@ def bloom_no_false_negatives(spark: SparkSession, d: str) -> DataFrame:
     return probed.agg(F.count(F.lit(1)).alias("probes"), F.count_if(~F.col("contained")).alias("missed"))
 
 
+@query(SQL["bloom_no_false_negatives"])
+def bloom_stored(spark: SparkSession, d: str) -> DataFrame:
+    """The same by a filter that was stored and read again with its shape."""
+    log = table(spark, d, "key_log").where("iata is not null")
+    folder = scratch(spark)
+    bloom.save(bloom.build(log, F.col("iata"), SHAPE), SHAPE, folder)
+    made, shape = bloom.load(spark, folder)
+    return bloom.probe(log, F.col("iata"), made, shape).agg(F.count(F.lit(1)).alias("probes"), F.count_if(~F.col("contained")).alias("missed"))
+
+
 @query("SELECT count(DISTINCT iata) AS exact, true AS within_bound FROM key_log")
 def bloom_count_within_bound(spark: SparkSession, d: str) -> DataFrame:
     log = table(spark, d, "key_log")
@@ -603,6 +650,17 @@ def stream_equals_batch(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(kept.read())
 
 
+@query(_VALUES)
+def stream_live(spark: SparkSession, d: str) -> DataFrame:
+    """A rollup kept in Spark's state store over four micro-batches, as it is after the last."""
+    folder = scratch(spark)
+    running = stream_rollup.live(arriving(spark, _events(spark, d), f"{folder}/in", 4), VALUES)
+    write = lambda rows, batch: rows.write.mode("overwrite").parquet(f"{folder}/now")
+    writer = running.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return _rounded(spark.read.schema(running.schema).parquet(f"{folder}/now"))
+
+
 def _finished(stream: DataFrame, folder: str, mode: str) -> DataFrame:
     """The rows that a streaming aggregation appends, as a table."""
     spark = stream.sparkSession

@@ -38,11 +38,12 @@ def _probed(spark: SparkSession, d: str, one_in: int = seen.ONE_IN) -> tuple[Dat
     """The stream of keys, and what sets of a rate of at most one in ``one_in`` say of it. Only the sets in use have room
     for growth; others are as narrow as the rows of these tables allow."""
     log, rows = table(spark, d, "key_log"), _rows(spark, d)
-    n = log.count() + table(spark, d, "obs_row").count()
+    n_rows, *bounds = table(spark, d, "obs_row").agg(F.count(F.lit(1)), F.min("row_id"), F.max("row_id")).first()
+    n = log.count() + n_rows
     shards = seen.shards_for(n)
     width = seen.WIDTH if one_in == seen.ONE_IN else seen.width_for(one_in, n // shards)
     stream = seen.hashes(rows, F.col("key"), F.col("id"))
-    return stream, seen.probe(stream, seen.build(seen.hashes(log, F.col("iata")), shards, width), shards, width=width)
+    return stream, seen.probe(stream, seen.build(seen.hashes(log, F.col("iata")), shards, width), shards, width=width, bounds=tuple(bounds))
 
 
 @query(

@@ -14,7 +14,7 @@ earlier keys are the sets alone, of one shard a task.
 
 "Not seen" is always right. "Seen" is wrong with probability n / 2**width for each set that is probed (and n / 2**64
 inside a portion), at most one in ``ONE_IN`` for a full set; a key that is once taken for a seen one stays so. ``audit`` tells
-how often it happened: it decides exactly for the keys of a hash sample, and for those alone.
+how often it happened: it decides exactly, for all keys or for those of a hash sample.
 
 Null and empty keys are no keys: such rows are no cases. Rows are told apart by the id column, which must be unique;
 rows without id are no cases. Repeated rows are seen rows. An empty log or an empty stream is allowed.
@@ -40,8 +40,8 @@ EPOCHS = 8
 CHUNK = 1 << 20
 #: Sets are stored in at most so many folders and files.
 SLOTS = 64
-#: Share of the keys that an audit decides exactly, in 256ths.
-SAMPLE = 64
+#: Share of the keys that an audit decides exactly, in 256ths: that of a sampled one, and that of a whole one.
+SAMPLE, ALL = 64, 256
 
 SETS = "slot bigint, shard bigint, n bigint, coded binary"
 _PROBED = "id bigint, seen boolean, false_rate double"
@@ -181,28 +181,30 @@ def seen(stream: DataFrame, probed: DataFrame) -> DataFrame:
 
 
 def sampled(key: Column, sample: int = SAMPLE) -> Column:
-    """Whether an audit takes the key: by the first byte of its md5, which the sets do not use."""
-    return F.substring(F.md5(key), 1, 2) < F.lit(f"{sample:02x}" if sample < 256 else "g")
+    """Whether an audit takes the key: by the first byte of its md5, which the sets do not use. A whole audit takes all."""
+    return F.substring(F.md5(key), 1, 2) < F.lit(f"{sample:02x}") if sample < ALL else F.lit(True)
 
 
 def audit(rows: DataFrame, log: DataFrame, probed: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """One row on the keys of the sample: ``audited`` (keys of the rows that had not occurred), ``false_positives`` (those
-    of them that the sets took for seen), ``missed`` (rows taken for new that were not), the number of false positives
-    ``expected`` in theory, both rates (null if nothing was audited), and ``within_limits``: whether what was found is
-    within five standard deviations, and one, of what was expected, and nothing was missed.
-
-    ``rows``: id and key of the incoming rows; ``log``: key. Rows and log are cut to the sample before they are joined.
+    """One row on the keys of the sample, or on all keys if that is ``ALL``: ``audited`` (keys of the rows that had not
+    occurred), ``false_positives`` (those of them that the sets took for seen), ``missed`` (rows taken for new that were
+    not), the number of false positives ``expected`` in theory, both rates (null if nothing was audited), and
+    ``within_limits``: whether what was found is within five standard deviations, and one, of what was expected, and
+    nothing was missed.
+
+    ``rows``: id and key of the incoming rows; ``log``: key. Rows and log are cut to the sample before they are joined. The
+    first rows of the new keys are found without the answers, so that audits of several sets of a query share them.
     """
     mine = rows.where("id is not null and key is not null and key != ''").where(sampled(F.col("key"), sample))
-    said = mine.join(probed, "id", "left")  # only first rows have an answer; the very first of a key always
-    by_key = said.groupBy("key").agg(F.min(F.struct("id", "seen", "false_rate")).alias("first"), F.count_if(~F.col("seen")).alias("new"))
-    known = log.select("key").where("key is not null and key != ''").where(sampled(F.col("key"), sample)).distinct().withColumn("known", F.lit(True))
-    unseen = F.col("known").isNull()
-    sums = by_key.join(known, "key", "left").agg(
-        F.count_if(unseen).alias("audited"),
-        F.count_if(unseen & F.col("first.seen")).alias("false_positives"),
-        (F.coalesce(F.sum("new"), F.lit(0)) - F.count_if(unseen & ~F.col("first.seen"))).alias("missed"),
-        F.coalesce(F.sum(F.when(unseen, F.col("first.false_rate"))), F.lit(0.0)).alias("expected"),
+    known = log.select("key").where("key is not null and key != ''").where(sampled(F.col("key"), sample)).distinct()
+    new = mine.groupBy("key").agg(F.min("id").alias("id")).join(known, "key", "left_anti").select("id", F.lit(True).alias("new"))
+    answers = probed if sample >= ALL else probed.join(mine.select("id"), "id", "left_semi")
+    is_new, said_seen = F.col("new").isNotNull(), F.coalesce("seen", F.lit(True))  # without an answer a row is a seen one
+    sums = new.join(answers, "id", "full").agg(
+        F.count_if(is_new).alias("audited"),
+        F.count_if(is_new & said_seen).alias("false_positives"),
+        F.count_if(~is_new & ~said_seen).alias("missed"),
+        F.coalesce(F.sum(F.when(is_new, F.col("false_rate"))), F.lit(0.0)).alias("expected"),
     )
     near = F.abs(F.col("false_positives") - F.col("expected")) <= 1 + 5 * F.sqrt("expected")
     return sums.withColumns(

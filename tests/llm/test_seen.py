@@ -93,6 +93,18 @@ def test_audit_of_narrow_sets(spark):
     assert seen.audit(df, known, no).first()["missed"] > 0 and not seen.audit(df, known, no).first()["within_limits"]
 
 
+def test_audit_of_all_keys_and_without_answers(spark):
+    """A whole audit decides each key; a new key whose first row got no answer counts as taken for a seen one, as ``seen`` does."""
+    log, stream = [(f"L{i}",) for i in range(50)], [(i, f"S{i % 40}") for i in range(100)] + [(200 + i, f"L{i}") for i in range(20)]
+    df, known, hashed, probed = _run(spark, log, stream)
+    whole = seen.audit(df, known, probed, seen.ALL).first()
+    assert (whole["audited"], whole["false_positives"], whole["missed"], whole["within_limits"]) == (40, 0, 0, True)
+    some = probed.where("id >= 10")
+    assert len(rows(seen.seen(hashed, some))) == len(_expected(log, stream)) + 10
+    r = seen.audit(df, known, some, seen.ALL).first()
+    assert (r["audited"], r["false_positives"], r["missed"], r["within_limits"]) == (40, 10, 0, False)
+
+
 def test_sets_that_always_say_yes_fail(spark, monkeypatch):
     """The answer comes from the sets: when they are broken it is wrong."""
     log, stream = _data(7, 100, 300)
